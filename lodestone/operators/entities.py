@@ -1,0 +1,164 @@
+"""Entity names: lookup of known names, nearest candidates, and sequential resolution.
+
+Resolution follows the order in which names first occur.  A name that is
+neither a known key nor a known alias is compared with the entities created
+before it; a selector may merge it into one of the nearest, otherwise it
+becomes an entity itself.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lodestone.functions.text import choice_index, norm_name
+from lodestone.operators.blocks import best_of
+from lodestone.operators.ranking import top_k
+from lodestone.operators.simjoin import block_join, place
+from lodestone.session import checkpoint
+
+_PAIRS = "id long, cand long, sim double, cand_open boolean"
+_OPEN, _ENTITY, _MERGED = 0, 1, 2
+
+# (candidate name, names of the candidates in rank order) -> reply
+Selector = Callable[[Column, Column], Column]
+
+
+def alias_map(entities: DataFrame) -> DataFrame:
+    """``(alias_key, entity_key)`` of entities ``(entity_key, aliases)``; the last owner of an alias wins."""
+    exploded = entities.select("entity_key", F.explode("aliases").alias("alias"))
+    keyed = exploded.select(norm_name(F.col("alias")).alias("alias_key"), "entity_key")
+    return keyed.groupBy("alias_key").agg(F.max("entity_key").alias("entity_key"))
+
+
+def resolve_names(names: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Add ``entity_key`` to rows with a ``name``: known key, else alias, else the name's own key.
+
+    ``entities`` holds ``entity_key``; ``aliases`` is ``(alias_key, entity_key)``.
+    Joins are left to the optimizer, which sees the real sizes at run time.
+    """
+    keyed = names.withColumn("__norm", norm_name(F.col("name")))
+    known = entities.select(F.col("entity_key").alias("__known")).distinct()
+    other = aliases.select(F.col("alias_key").alias("__alias"), F.col("entity_key").alias("__owner"))
+    joined = keyed.join(known, F.col("__norm") == F.col("__known"), "left").join(
+        other, F.col("__norm") == F.col("__alias"), "left"
+    )
+    key = F.coalesce("__known", "__owner", "__norm")
+    return joined.withColumn("entity_key", key).drop("__norm", "__known", "__alias", "__owner")
+
+
+def _nearest(k: int, gate: float, earlier_only: bool):
+    def kernel(t_ids, v_ids, marks, slices):
+        out_id, out_cand, out_sim, out_open = [], [], [], []
+        for start, sims in slices:
+            for row, scores in enumerate(sims):
+                me = t_ids[start + row]
+                fits = (scores >= gate) & ((v_ids < me) if earlier_only else (v_ids != me))
+                at = np.flatnonzero(fits)
+                best = at[best_of(scores[at], v_ids[at], k)]
+                out_id.append(np.full(len(best), me))
+                out_cand.append(v_ids[best])
+                out_sim.append(scores[best])
+                out_open.append(marks[best] == _OPEN)
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        return {
+            "id": join(out_id, np.int64),
+            "cand": join(out_cand, np.int64),
+            "sim": join(out_sim, np.float64),
+            "cand_open": join(out_open, bool),
+        }
+
+    return kernel
+
+
+def entity_candidates(names: DataFrame, k: int, gate: float) -> DataFrame:
+    """``(id, rank, cand, sim)``: for every vector of ``(id, embedding)`` the other vectors of
+    similarity ≥ ``gate``, at most ``k``, nearest first.  A gate of zero or below turns it off.
+    """
+    rows = names.select("id", F.col("embedding").alias("vec"))
+    placed = place(rows if gate > 0 else rows.limit(0), gate)
+    pairs = block_join(placed.rows, placed.rows, placed.cells, _nearest(k, gate, earlier_only=False), _PAIRS)
+    best = top_k(pairs, ["id"], [F.desc("sim"), F.asc("cand")], k)
+    return best.select("id", "rank", "cand", "sim")
+
+
+def always_nearest(name: Column, candidates: Column) -> Column:
+    """Selector that takes the first candidate."""
+    return F.lit("1")
+
+
+def never_merge(name: Column, candidates: Column) -> Column:
+    """Selector that finds no match."""
+    return F.lit("0")
+
+
+def resolve_entities(names: DataFrame, selector: Selector, k: int, gate: float) -> DataFrame:
+    """``(id, owner)`` for distinct names ``(id, name, embedding)`` in order of ``id``.
+
+    ``owner`` is the id of the entity a name stands for, its own id if it is one.
+    An optional boolean column ``settled`` marks existing entities, which precede
+    all new names.
+
+    Works in rounds: a name is decided once none of its ``k`` nearest earlier
+    candidates is still open.  The earliest open name always is, so every round
+    makes progress, and independent names are decided together.
+    """
+    if "settled" not in names.columns:
+        names = names.withColumn("settled", F.lit(False))
+    rows = names.select("id", "name", F.col("embedding").alias("vec"), "settled")
+    if gate <= 0:
+        return rows.select("id", F.col("id").alias("owner"))
+    placed = place(rows, gate)
+    live = placed.rows.withColumn("state", F.when(F.col("settled"), _ENTITY).otherwise(_OPEN)).drop("settled")
+    # A settled entity stands for itself; the rest is decided below.
+    owners = live.where(F.col("state") == _ENTITY).select("id", F.col("id").alias("owner"))
+    kernel = _nearest(k, gate, earlier_only=True)
+    rounds = 0
+    while not live.where(F.col("state") == _OPEN).isEmpty():
+        pending = live.where(F.col("state") == _OPEN)
+        pairs = block_join(pending, live, placed.cells, kernel, _PAIRS, flag="state")
+        best = top_k(pairs, ["id"], [F.desc("sim"), F.asc("cand")], k)
+        ready = (
+            best.join(live.select(F.col("id").alias("cand"), F.col("name").alias("cand_name")), "cand")
+            .groupBy("id")
+            .agg(
+                F.max("cand_open").alias("blocked"),
+                F.array_sort(F.collect_list(F.struct("rank", "cand", "cand_name"))).alias("cands"),
+            )
+        )
+        judged = pending.select("id", "name").join(ready, "id", "left").where(
+            ~F.coalesce("blocked", F.lit(False))
+        )
+        # Only names with candidates are put before the selector.
+        asked = judged.where(F.col("cands").isNotNull())
+        reply = selector(F.col("name"), F.col("cands.cand_name"))
+        chosen = asked.withColumn("reply", reply).withColumn(
+            "choice", choice_index(F.col("reply"), F.size("cands"))
+        )
+        merged_into = F.when(
+            F.col("choice").isNotNull(), F.element_at(F.col("cands.cand"), F.col("choice"))
+        )
+        decided = checkpoint(
+            chosen.select("id", F.coalesce(merged_into, F.col("id")).alias("owner")).unionByName(
+                judged.where(F.col("cands").isNull()).select("id", F.col("id").alias("owner"))
+            )
+        )
+        owners = owners.unionByName(decided)
+        state = (
+            F.when(F.col("owner").isNull(), F.col("state"))
+            .when(F.col("owner") == F.col("id"), _ENTITY)
+            .otherwise(_MERGED)
+        )
+        live = checkpoint(
+            live.join(decided, "id", "left")
+            .withColumn("state", state)
+            .where(F.col("state") != _MERGED)
+            .drop("owner")
+        )
+        rounds += 1
+        if rounds % 16 == 0:
+            owners = checkpoint(owners)
+    return owners
