@@ -90,23 +90,28 @@ def corpus_stats(doc_lengths: DataFrame) -> DataFrame:
     return doc_lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def _phrase_terms(phrases: DataFrame) -> DataFrame:
-    """``(phrase, n, offset, term)`` of the phrases that hold several tokens."""
-    multi = phrases.where(F.col("n") > 1).select("phrase", "tokens", "n").distinct()
-    return multi.select("phrase", "n", F.posexplode("tokens").alias("offset", "term"))
-
+def _anchored(table: DataFrame) -> DataFrame:
+    """``(term, phrase, phrase_tokens, n, offset)``: each longer phrase under its longest token.
 
-def _adjacent(occurrences: DataFrame) -> DataFrame:
-    """Phrase frequencies from ``(doc_id, dl, phrase, n, start)``: a start hit by all n tokens."""
+    Any token would do; long ones are rare, so fewer places have to be looked at.
+    """
+    multi = table.where(F.col("n") > 1).select("phrase", F.col("tokens").alias("phrase_tokens"), "n")
+    sized = F.transform(
+        "phrase_tokens", lambda t, i: F.struct((-F.length(t)).alias("l"), i.alias("offset"), t.alias("term"))
+    )
     return (
-        occurrences.groupBy("doc_id", "dl", "phrase", "n", "start")
-        .agg(F.count("*").alias("found"))
-        .where(F.col("found") == F.col("n"))
-        .groupBy("doc_id", "dl", "phrase")
-        .agg(F.count("*").alias("tf"))
+        multi.distinct()
+        .withColumn("anchor", F.array_min(sized))
+        .select("anchor.term", "phrase", "phrase_tokens", "n", "anchor.offset")
     )
 
 
+def _phrase_terms(table: DataFrame) -> DataFrame:
+    """``(phrase, n, offset, term)``: every token of the phrases that hold several."""
+    multi = table.where(F.col("n") > 1).select("phrase", "tokens", "n").distinct()
+    return multi.select("phrase", "n", F.posexplode("tokens").alias("offset", "term"))
+
+
 def phrase_frequencies(tokens: DataFrame, phrases: Phrases) -> DataFrame:
     """``(doc_id, dl, phrase, tf)`` straight from tokenised documents.
 
@@ -126,12 +131,17 @@ def phrase_frequencies(tokens: DataFrame, phrases: Phrases) -> DataFrame:
     )
     if not phrases.has_multi:
         return one
+    here = F.slice(
+        F.col("tokens"), F.greatest(F.col("pos") - F.col("offset"), F.lit(0)) + F.lit(1), F.col("n")
+    )
     several = (
-        tokens.select("doc_id", "dl", F.posexplode("tokens").alias("pos", "term"))
-        .join(phrases.side(_phrase_terms(table)), "term")
-        .withColumn("start", F.col("pos") - F.col("offset"))
+        tokens.select("doc_id", "dl", "tokens", F.posexplode("tokens").alias("pos", "term"))
+        .join(phrases.side(_anchored(table)), "term")
+        .where((F.col("pos") >= F.col("offset")) & (here == F.col("phrase_tokens")))
+        .groupBy("doc_id", "dl", "phrase")
+        .agg(F.count("*").alias("tf"))
     )
-    return one.unionByName(_adjacent(several))
+    return one.unionByName(several)
 
 
 def indexed_phrase_frequencies(postings: DataFrame, phrases: Phrases) -> DataFrame:
@@ -147,10 +157,20 @@ def indexed_phrase_frequencies(postings: DataFrame, phrases: Phrases) -> DataFra
     )
     if not phrases.has_multi:
         return one
-    several = postings.join(phrases.side(_phrase_terms(table)), "term").select(
-        "doc_id", "dl", "phrase", "n", (F.explode("positions") - F.col("offset")).alias("start")
+    # One group per document and phrase, with one entry per token of the phrase.
+    parts = F.collect_list(F.transform("positions", lambda p: p - F.col("offset")))
+    starts = F.aggregate(
+        F.slice("parts", 2, F.size("parts")), F.element_at("parts", 1), lambda acc, x: F.array_intersect(acc, x)
+    )
+    several = (
+        postings.join(phrases.side(_phrase_terms(table)), "term")
+        .groupBy("doc_id", "dl", "phrase", "n")
+        .agg(parts.alias("parts"))
+        .where(F.size("parts") == F.col("n"))
+        .select("doc_id", "dl", "phrase", F.size(starts).cast("long").alias("tf"))
+        .where(F.col("tf") > 0)
     )
-    return one.unionByName(_adjacent(several))
+    return one.unionByName(several)
 
 
 def scored(frequencies: DataFrame, stats: DataFrame, phrases: Phrases) -> DataFrame:
