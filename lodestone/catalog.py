@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.config import (
+    EmbeddingConfig, ExperimentConfig, IngestionConfig, LLMConfig, RetrievalConfig,
+)
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators import (
     bm25, chunking, costs, dataset, entities, graph, hybrid, knn, overlap, scoring,
     semantic_dedup, triples, vecgraph,
 )
+from lodestone.plans.agent import Agent
+from lodestone.plans.memories import OverlapMemory
+from lodestone.plugins import offline_models
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -482,3 +488,23 @@ def qa_em_f1(spark, folder):
 def qa_summary(spark, folder):
     summary = scoring.score_summary(scoring.score_answers(_answer_pairs(spark, folder)))
     return summary.select("questions", F.round("em", 6).alias("em"), F.round("f1", 6).alias("f1"))
+
+
+@_query
+def qa_pipeline(spark, folder):
+    """Benchmark texts answered from the documents: retrieve, assemble the prompt, reason."""
+    config = ExperimentConfig(
+        variant_name="registered", agent_type="dummy", data_file="documents",
+        llm=LLMConfig("offline/first-line"), embedding=EmbeddingConfig("offline/hashing"),
+        retrieval=RetrievalConfig(top_k=TOP_K), ingestion=IngestionConfig(CHUNK_SIZE, CHUNK_OVERLAP),
+    )
+    memory = OverlapMemory(spark, config, offline_models())
+    memory.docs = lambda: _documents(spark, folder)
+    asked = _benchmark_queries(spark, folder).select(
+        "qid", F.col("query").alias("question"), F.lit("").alias("expected")
+    )
+    results = Agent(memory).answer_many(asked)
+    return results.select(
+        "qid", "variant_name", "agent_type", "question", "expected", "answer",
+        F.size("context_used").alias("passages"), F.array_join("steps_taken", ",").alias("steps"), "backend_name",
+    )

@@ -317,3 +317,13 @@ SQL["qa_em_f1"] = f"WITH {_SCORES} SELECT id, exact_match, round(f1, 6) AS f1 FR
 SQL["qa_summary"] = f"""
     WITH {_SCORES} SELECT count(*) AS questions, round(avg(exact_match), 6) AS em, round(avg(f1), 6) AS f1 FROM scores
 """
+
+SQL["qa_pipeline"] = f"""
+    WITH {_OVERLAP},
+    ctx AS (SELECT qid, count(*) AS n, string_agg(text, chr(10) ORDER BY rank) AS c
+        FROM hits JOIN (SELECT doc_id, text FROM documents) USING (doc_id) GROUP BY qid)
+    SELECT item_id AS qid, 'registered' AS variant_name, 'dummy' AS agent_type, b.text AS question, '' AS expected,
+        string_split(coalesce(c, 'No context available.'), chr(10))[1] AS answer, coalesce(n, 0) AS passages,
+        'retrieve,reason' AS steps, 'dummy' AS backend_name
+    FROM benchmark b LEFT JOIN ctx ON qid = item_id
+"""
