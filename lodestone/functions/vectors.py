@@ -19,7 +19,8 @@ def l2_normalize(v: Column) -> Column:
     """Unit vector; a zero vector stays as it is."""
     norm = l2_norm(v)
     scale = F.when(norm == 0.0, F.lit(1.0)).otherwise(norm)
-    return F.transform(v, lambda x: x.cast("double") / scale)
+    # Repeated into an array, the scale is computed once per vector, not per element.
+    return F.zip_with(v, F.array_repeat(scale, F.size(v)), lambda x, s: x.cast("double") / s)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -44,8 +44,9 @@ class Phrases:
 
 
 def query_phrases(queries: DataFrame) -> Phrases:
+    asked = spread_small_scan(queries.select("qid", "query"), "qid")
     tokens = (
-        queries.where(~is_blank(F.col("query")))
+        asked.where(~is_blank(F.col("query")))
         .select("qid", F.explode(quoted_phrases(F.col("query"))).alias("word"))
         .select("qid", fts_tokens(F.col("word")).alias("tokens"))
         .where(F.size("tokens") > 0)

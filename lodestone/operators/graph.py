@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import edge_text, is_blank, words
 from lodestone.operators.ranking import top_k
-from lodestone.operators.substring import substring_matches
+from lodestone.operators.substring import number_tokens, substring_matches
 
 _SHORTEST_TOKEN = 3
 
@@ -38,8 +38,10 @@ def seed_nodes(edges: DataFrame, queries: DataFrame) -> DataFrame:
         .distinct()
     )
     nodes = graph_nodes(edges).withColumn("name", F.col("node"))
-    hits = substring_matches(nodes, "node", "name", asked.select("token").distinct())
-    return hits.join(asked, "token").select("qid", "node").distinct()
+    tokens = number_tokens(asked)
+    hits = substring_matches(nodes, "node", "name", tokens)
+    asked = asked.join(tokens, "token").select("qid", "token_no")
+    return hits.join(asked, "token_no").select("qid", "node").distinct()
 
 
 def graph_search(edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:

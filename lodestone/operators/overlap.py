@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import words
 from lodestone.operators.ranking import top_k
-from lodestone.operators.substring import substring_matches
+from lodestone.operators.substring import number_tokens, substring_matches
 from lodestone.session import broadcast_if_small
 
 
@@ -27,10 +27,11 @@ def overlap_search(passages: DataFrame, queries: DataFrame, k: int) -> DataFrame
     Tokens match as substrings, whatever the case; passages without a match are
     left out; ties keep the order of ``doc_id``.
     """
-    weights = query_token_counts(queries)
-    tokens = weights.select("token").distinct()
+    counts = query_token_counts(queries)
+    tokens = number_tokens(counts)
     hits = substring_matches(passages, "doc_id", "text", tokens)
-    weights = broadcast_if_small(weights, per_row=48, payload=F.octet_length("token"))
-    scored = hits.join(weights, "token").groupBy("qid", "doc_id").agg(F.sum("weight").alias("score"))
+    weights = counts.join(tokens, "token").select("qid", "token_no", "weight")
+    weights = broadcast_if_small(weights, per_row=48)
+    scored = hits.join(weights, "token_no").groupBy("qid", "doc_id").agg(F.sum("weight").alias("score"))
     best = top_k(scored, ["qid"], [F.desc("score"), F.asc("doc_id")], k)
     return best.select("qid", "rank", "doc_id", "score")

@@ -1,7 +1,7 @@
 """Which tokens occur as a substring of which texts, as an equi-join.
 
 A token holds no white space, so it lies inside one word of the text.  Every
-word is expanded into its substrings of the token lengths in use, and those
+word is expanded into its substrings up to the longest token, and those
 join the token table on equality: no token is ever compared with a text that
 does not hold it.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import words
-from lodestone.session import broadcast_if_small, spread_small_scan
+from lodestone.session import broadcast_if_small, checkpoint, spread_small_scan
 
 # Longer words are cut into overlapping pieces of about this many characters,
 # which keeps the expansion linear in the length of the word.
@@ -25,42 +25,35 @@ def _pieces(word: Column, longest: Column) -> Column:
     return F.when(F.length(word) <= _PIECE, F.array(word)).otherwise(cut)
 
 
-def _substrings(piece: Column, lengths: Column) -> Column:
-    def of_length(n: Column) -> Column:
-        starts = F.when(
-            F.length(piece) >= n, F.sequence(F.lit(1), F.length(piece) - n + 1)
-        ).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substr(piece, i, n))
+def number_tokens(tokens: DataFrame) -> DataFrame:
+    """``(token, token_no)`` of the distinct tokens; written out, so that the numbers stay the same."""
+    distinct = tokens.select("token").distinct()
+    return checkpoint(distinct.withColumn("token_no", F.monotonically_increasing_id()))
 
-    return F.flatten(F.transform(lengths, of_length))
 
+def substring_matches(texts: DataFrame, id_col: str, text_col: str, tokens: DataFrame) -> DataFrame:
+    """Distinct ``(id, token_no)`` pairs where the lower-cased text contains the token.
 
-def substring_matches(
-    texts: DataFrame,
-    id_col: str,
-    text_col: str,
-    tokens: DataFrame,
-    token_col: str = "token",
-) -> DataFrame:
-    """Distinct ``(id, token)`` pairs where the lower-cased text contains the token.
-
-    ``tokens`` holds distinct, lower-cased, non-empty tokens without white space.
+    ``tokens`` are numbered, lower-cased, non-empty and without white space.
     """
-    lengths = tokens.agg(
-        F.array_sort(F.collect_set(F.length(token_col))).alias("lengths")
-    ).scalar()
-    distinct_words = F.array_distinct(words(F.lower(F.col(text_col))))
-    pieces = F.flatten(F.transform(F.col("__words"), lambda w: _pieces(w, F.array_max("__lengths"))))
-    substrings = F.array_distinct(
-        F.flatten(F.transform(F.col("__pieces"), lambda p: _substrings(p, F.col("__lengths"))))
-    )
+    longest = tokens.agg(F.coalesce(F.max(F.length("token")), F.lit(0))).scalar()
     texts = spread_small_scan(texts.select(id_col, text_col), id_col)
+    pieces = (
+        texts.select(id_col, F.explode(F.array_distinct(words(F.lower(F.col(text_col))))).alias("word"))
+        .withColumn("longest", longest)
+        .select(id_col, "longest", F.explode(_pieces(F.col("word"), F.col("longest"))).alias("piece"))
+    )
+    # Plain generators instead of nested array functions: the expansion, the
+    # substring and the probe of the token table compile into one loop.
+    rest = F.length("piece") - F.col("start") + 1
     expanded = (
-        texts.select(F.col(id_col), distinct_words.alias("__words"))
-        .withColumn("__lengths", lengths)
-        .withColumn("__pieces", pieces)
-        .select(F.col(id_col), F.explode(substrings).alias(token_col))
+        pieces.select(id_col, "longest", "piece", F.explode(F.sequence(F.lit(1), F.length("piece"))).alias("start"))
+        .where(F.col("longest") > 0)
+        .select(
+            id_col, "piece", "start",
+            F.explode(F.sequence(F.lit(1), F.least(F.col("longest"), rest))).alias("size"),
+        )
+        .select(id_col, F.substr("piece", F.col("start"), F.col("size")).alias("token"))
     )
-    table = tokens.select(token_col)
-    table = broadcast_if_small(table, per_row=32, payload=F.octet_length(token_col))
-    return expanded.join(table, token_col).select(id_col, token_col)
+    table = broadcast_if_small(tokens, per_row=40, payload=F.octet_length("token"))
+    return expanded.join(table, "token").select(id_col, "token_no").distinct()

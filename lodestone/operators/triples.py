@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import strip_ws
 from lodestone.operators.ranking import first_per_key
+from lodestone.session import spread_small_scan
 
 _EDGE_FIELDS = ("subject", "predicate", "object")
 _TRIPLET_FIELDS = ("subject", "predicate", "description", "object")
@@ -29,6 +30,7 @@ def parse_array(reply: Column) -> Column:
 
 
 def _items(replies: DataFrame, *keep: str) -> DataFrame:
+    replies = spread_small_scan(replies.select(*keep, "reply"), keep[0])
     return replies.select(*keep, F.posexplode(parse_array(F.col("reply"))).alias("item_no", "item")).where(
         F.schema_of_variant("item").startswith("OBJECT")
     )
