@@ -19,6 +19,7 @@ from lodestone.operators import (
 from lodestone.plans.agent import Agent
 from lodestone.plans.memories import OverlapMemory
 from lodestone.plugins import offline_models
+from lodestone.session import checkpoint
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -167,7 +168,7 @@ def bm25_phrases(spark, folder):
 def bm25_index_topk(spark, folder):
     """The ranking from postings instead of texts."""
     docs = _documents(spark, folder)
-    postings = bm25.build_postings(docs)
+    postings = checkpoint(bm25.build_postings(docs))
     lengths = bm25.tokenized(docs).select("doc_id", "dl")
     hits = bm25.bm25_search_index(postings, lengths, _benchmark_queries(spark, folder), TOP_K)
     return hits.select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
@@ -318,7 +319,7 @@ def vector_knn_join(spark, folder):
 def label_cohesion(spark, folder):
     """Similarity of every vector to the mean of its label."""
     e = _table(spark, folder, "embeddings")
-    means = _label_queries(spark, folder)
+    means = checkpoint(_label_queries(spark, folder))
     joined = e.join(means, F.col("label").cast("long") == F.col("qid"))
     cos = V.cosine(V.l2_normalize(F.col("embedding")), F.col("vec"))
     return joined.select("vec_id", F.round(V.similarity_from_cosine(cos), 6).alias("sim"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import edge_text, is_blank, words
 from lodestone.operators.ranking import top_k
 from lodestone.operators.substring import number_tokens, substring_matches
+from lodestone.session import checkpoint
 
 _SHORTEST_TOKEN = 3
 
@@ -56,15 +57,19 @@ def graph_search(edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     were seen before.  A node with any number of edges therefore costs a constant.
     """
     touching = incidence(edges)
-    near = top_k(touching, ["node"], [F.asc("eid")], 2 * k, rank="nth")
-    seeds = seed_nodes(edges, queries)
 
-    first = (
-        seeds.join(near.where(F.col("nth") <= k), "node").select("qid", "eid").distinct()
-    )
-    hop1 = top_k(first, ["qid"], [F.asc("eid")], k).select("qid", "eid", F.lit(1).alias("hop"))
+    def lowest(nodes: DataFrame, n: int) -> DataFrame:
+        """The ``n`` lowest edges at each of the given nodes."""
+        wanted = nodes.select("node").distinct()
+        return top_k(touching.join(wanted, "node", "left_semi"), ["node"], [F.asc("eid")], n, rank="nth")
+
+    # Seeds and first hits are used several times and are small beside the
+    # edges; written out, the joins see their real size.
+    seeds = checkpoint(seed_nodes(edges, queries))
+    first = seeds.join(lowest(seeds, k), "node").select("qid", "eid").distinct()
+    hop1 = checkpoint(top_k(first, ["qid"], [F.asc("eid")], k).select("qid", "eid", F.lit(1).alias("hop")))
     unfinished = hop1.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") < k).select("qid")
-    frontier = (
+    frontier = checkpoint(
         hop1.join(unfinished, "qid", "left_semi")
         .join(edges.select("eid", "subject", "object"), "eid")
         .select("qid", F.explode(F.array("subject", "object")).alias("node"))
@@ -72,7 +77,7 @@ def graph_search(edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         .join(seeds, ["qid", "node"], "left_anti")
     )
     second = (
-        frontier.join(near, "node")
+        frontier.join(lowest(frontier, 2 * k), "node")
         .select("qid", "eid")
         .distinct()
         .join(hop1.select("qid", "eid"), ["qid", "eid"], "left_anti")
@@ -80,4 +85,4 @@ def graph_search(edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     )
     best = top_k(hop1.unionByName(second), ["qid"], [F.asc("hop"), F.asc("eid")], k)
     sentence = edge_text(F.col("subject"), F.col("predicate"), F.col("object"))
-    return best.join(edges, "eid").select("qid", "rank", "hop", "eid", sentence.alias("text"))
+    return checkpoint(best).join(edges, "eid").select("qid", "rank", "hop", "eid", sentence.alias("text"))

@@ -163,10 +163,14 @@ class Bm25Memory(_PassageMemory):
     name = "bm25"
     tables = ("docs", "lengths", "postings")
 
+    # Buckets by document: grouping by document and term, by document and phrase or by
+    # document and query then needs no shuffle, and a frequent term is spread evenly.
+    _postings = (
+        "postings", "doc_id bigint, term string, tf bigint, positions array<int>, dl bigint", "doc_id", "term"
+    )
+
     def postings(self) -> DataFrame:
-        return self.store.read(
-            "postings", "doc_id long, term string, tf long, positions array<int>, dl long"
-        )
+        return self.store.read_bucketed(*self._postings)
 
     def lengths(self) -> DataFrame:
         return self.store.read("lengths", "doc_id long, dl long")
@@ -174,8 +178,8 @@ class Bm25Memory(_PassageMemory):
     def _ingest(self, docs: DataFrame, phase: str, run_id: str, chunked: bool) -> None:
         # Pinned first, as the numbers depend on what is stored already.
         fresh = checkpoint(self._numbered(docs))
-        # Sorted by term within a file, so that a scan skips row groups without a query term.
-        self.store.append("postings", bm25.build_postings(fresh).sortWithinPartitions("term"))
+        name, *layout = self._postings
+        self.store.append_bucketed(name, bm25.build_postings(fresh), *layout)
         self.store.append("lengths", bm25.tokenized(fresh).select("doc_id", "dl"))
         self.store.append("docs", fresh)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -59,6 +61,37 @@ class TableStore:
             fs, path = self._fs(self._path(name, old))
             fs.delete(path, True)
 
+    # ---- bucketed tables ----
+
+    def _bucketed(self, name: str, schema: str, key: str, sort: str) -> str:
+        """Name of an external table over the folder, declared in this session if need be.
+
+        The number of buckets is part of the folder's name, so every application
+        declares the table alike.
+        """
+        fs, path = self._fs(f"{self.root}/{name}")
+        held = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        buckets = held[0][1:] if held else self._spark.conf.get("spark.sql.shuffle.partitions")
+        folder = f"{self.root}/{name}/b{buckets}"
+        table = f"lodestone_{name}_{hashlib.md5(folder.encode()).hexdigest()}"
+        if not self._spark.catalog.tableExists(table):
+            self._spark.sql(
+                f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({sort}) "
+                f"INTO {buckets} BUCKETS LOCATION '{folder}'"
+            )
+        return table
+
+    def read_bucketed(self, name: str, schema: str, key: str, sort: str) -> DataFrame:
+        table = self._bucketed(name, schema, key, sort)
+        self._spark.catalog.refreshTable(table)
+        return self._spark.table(table)
+
+    def append_bucketed(self, name: str, df: DataFrame, schema: str, key: str, sort: str) -> None:
+        """Append rows hashed into buckets by ``key``, each file sorted by ``sort``."""
+        self.read_bucketed(name, schema, key, sort)
+        table = self._bucketed(name, schema, key, sort)
+        df.select(*self._spark.table(table).columns).write.insertInto(table)
+
     def drop(self, *names: str) -> None:
         for name in names:
             fs, path = self._fs(f"{self.root}/{name}")
