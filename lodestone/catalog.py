@@ -349,8 +349,8 @@ def alias_resolve(spark, folder):
     """Part names, brands and types looked up among entities named after parts."""
     part = _table(spark, folder, "part")
     known = part.select(T.norm_name(F.col("p_name")).alias("entity_key")).distinct()
-    alias_rows = part.groupBy("p_brand").agg(F.min("p_name").alias("name")).select(
-        T.norm_name(F.col("name")).alias("entity_key"), F.array("p_brand").alias("aliases")
+    alias_rows = part.groupBy("p_brand").agg(F.min("p_name").alias("name"), F.min("p_partkey").alias("id")).select(
+        F.col("id").alias("entity_id"), T.norm_name(F.col("name")).alias("entity_key"), F.array("p_brand").alias("aliases")
     )
     names = part.select(
         "p_partkey",

@@ -28,10 +28,13 @@ Selector = Callable[[Column, Column], Column]
 
 
 def alias_map(entities: DataFrame) -> DataFrame:
-    """``(alias_key, entity_key)`` of entities ``(entity_key, aliases)``; the last owner of an alias wins."""
-    exploded = entities.select("entity_key", F.explode("aliases").alias("alias"))
-    keyed = exploded.select(norm_name(F.col("alias")).alias("alias_key"), "entity_key")
-    return keyed.groupBy("alias_key").agg(F.max("entity_key").alias("entity_key"))
+    """``(alias_key, entity_key)`` of entities ``(entity_id, entity_key, aliases)``.
+
+    An alias several entities claim belongs to the one created last.
+    """
+    exploded = entities.select("entity_id", "entity_key", F.explode("aliases").alias("alias"))
+    keyed = exploded.select(norm_name(F.col("alias")).alias("alias_key"), "entity_id", "entity_key")
+    return keyed.groupBy("alias_key").agg(F.max_by("entity_key", "entity_id").alias("entity_key"))
 
 
 def resolve_names(names: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:

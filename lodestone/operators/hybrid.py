@@ -24,10 +24,9 @@ def hybrid_hits(
     ``entities`` holds ``id, name, vec``; ``relations`` holds ``eid, subject, predicate, object,
     vec``; ``queries`` holds ``qid, vec``.
     """
-    local = checkpoint(
-        knn_search(entities.select("id", "vec"), queries, k).join(entities.select("id", "name"), "id")
-        .select("qid", "rank", "name")
-    )
+    # Hits are written out first, so that the joins see how few they are.
+    nearest = checkpoint(knn_search(entities.select("id", "vec"), queries, k).select("qid", "rank", "id"))
+    local = checkpoint(entities.select("id", "name").join(nearest, "id").select("qid", "rank", "name"))
     corpus = relations.select(F.col("eid").alias("id"), "vec")
     overall = checkpoint(knn_search(corpus, queries, k).select("qid", "rank", F.col("id").alias("eid")))
     wanted = local.select(F.col("name").alias("node")).distinct()
