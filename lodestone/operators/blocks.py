@@ -8,6 +8,8 @@ import pyarrow as pa
 # Similarities are compared at this many digits, so that the order in which a
 # product was summed cannot decide a tie or a threshold.
 SIM_DIGITS = 12
+# Wider than what rounding can move a similarity.
+_REACH = 1e-11
 # Rows of the left block multiplied at a time; bounds the dense intermediate.
 _SLICE = 512
 
@@ -33,16 +35,32 @@ def int64(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def similarity_slices(left: np.ndarray, right: np.ndarray):
-    """``(start, sims)`` for slices of the left rows against all right rows."""
+    """``(start, sims)`` for slices of the left rows against all right rows, not yet rounded."""
     for start in range(0, len(left), _SLICE):
-        yield start, np.round(left[start : start + _SLICE] @ right.T, SIM_DIGITS)
+        yield start, left[start : start + _SLICE] @ right.T
 
 
-def best_of(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the ``k`` best by (similarity descending, id ascending), ties included exactly."""
+def rounded(sims: np.ndarray) -> np.ndarray:
+    return np.round(sims, SIM_DIGITS)
+
+
+def near_pairs(sims: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(rows, columns, rounded similarity)`` of the entries that may reach ``bound``.
+
+    Rounding is slow, so it is only done for entries within reach.
+    """
+    rows, cols = np.nonzero(sims >= bound - _REACH)
+    return rows, cols, rounded(sims[rows, cols])
+
+
+def best_of(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and rounded values of the ``k`` best by (similarity descending, id ascending)."""
     if len(sims) > k:
+        # Everything that may tie with the k-th after rounding stays in the running.
         bar = np.partition(sims, len(sims) - k)[len(sims) - k]
-        keep = np.flatnonzero(sims >= bar)
+        keep = np.flatnonzero(sims >= bar - _REACH)
     else:
         keep = np.arange(len(sims))
-    return keep[np.lexsort((ids[keep], -sims[keep]))[:k]]
+    values = rounded(sims[keep])
+    order = np.lexsort((ids[keep], -values))[:k]
+    return keep[order], values[order]

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import choice_index, norm_name
-from lodestone.operators.blocks import best_of
+from lodestone.operators.blocks import best_of, near_pairs
 from lodestone.operators.ranking import top_k
 from lodestone.operators.simjoin import block_join, place
 from lodestone.session import checkpoint
@@ -57,15 +57,18 @@ def _nearest(k: int, gate: float, earlier_only: bool):
     def kernel(t_ids, v_ids, marks, slices):
         out_id, out_cand, out_sim, out_open = [], [], [], []
         for start, sims in slices:
-            for row, scores in enumerate(sims):
-                me = t_ids[start + row]
-                fits = (scores >= gate) & ((v_ids < me) if earlier_only else (v_ids != me))
-                at = np.flatnonzero(fits)
-                best = at[best_of(scores[at], v_ids[at], k)]
-                out_id.append(np.full(len(best), me))
-                out_cand.append(v_ids[best])
-                out_sim.append(scores[best])
-                out_open.append(marks[best] == _OPEN)
+            rows, cols, values = near_pairs(sims, gate)
+            me, them = t_ids[start + rows], v_ids[cols]
+            fits = (values >= gate) & ((them < me) if earlier_only else (them != me))
+            rows, cols, values = rows[fits], cols[fits], values[fits]
+            # Row by row; entries of a row follow each other.
+            for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(rows)) + 1):
+                best, sim = best_of(values[part], v_ids[cols[part]], k)
+                at = cols[part][best]
+                out_id.append(t_ids[start + rows[part][best]])
+                out_cand.append(v_ids[at])
+                out_sim.append(sim)
+                out_open.append(marks[at] == _OPEN)
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         return {
             "id": join(out_id, np.int64),

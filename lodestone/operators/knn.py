@@ -28,12 +28,12 @@ def _best_pairs(qids, q, ids, c, k: int, min_cos: float | None) -> pa.Table:
     if len(q) and len(c):
         for start, sims in similarity_slices(q, c):
             for row, scores in enumerate(sims):
-                best = best_of(scores, ids, k)
+                best, values = best_of(scores, ids, k)
                 if min_cos is not None:
-                    best = best[scores[best] >= min_cos]
+                    best, values = best[values >= min_cos], values[values >= min_cos]
                 out_q.append(np.full(len(best), qids[start + row]))
                 out_id.append(ids[best])
-                out_cos.append(scores[best])
+                out_cos.append(values)
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     return pa.table(
         {"qid": join(out_q, np.int64), "id": join(out_id, np.int64), "cos": join(out_cos, np.float64)}

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import l2_norm
-from lodestone.operators.blocks import SIM_DIGITS, int64, matrix, unit_rows
+from lodestone.operators.blocks import int64, matrix, near_pairs, rounded, unit_rows
 from lodestone.operators.simjoin import block_join, place
 from lodestone.session import checkpoint
 
@@ -27,10 +27,11 @@ def _verdicts(threshold: float):
         near_open = np.zeros(len(t_ids), bool)
         kept = marks == _KEPT
         for start, sims in slices:
-            part = slice(start, start + len(sims))
-            near = (sims > threshold) & (v_ids[None, :] < t_ids[part, None])
-            near_kept[part] = near[:, kept].any(axis=1)
-            near_open[part] = near[:, ~kept].any(axis=1)
+            rows, cols, values = near_pairs(sims, threshold)
+            near = (values > threshold) & (v_ids[cols] < t_ids[start + rows])
+            rows, by_kept = start + rows[near], kept[cols[near]]
+            near_kept[rows[by_kept]] = True
+            near_open[rows[~by_kept]] = True
         return {"id": t_ids, "near_kept": near_kept, "near_open": near_open}
 
     return kernel
@@ -48,7 +49,7 @@ def _finish(threshold: float):
             if state[i] == _DROPPED:
                 continue
             state[i] = _KEPT
-            later = np.round(unit[i + 1 :] @ unit[i], SIM_DIGITS) > threshold
+            later = rounded(unit[i + 1 :] @ unit[i]) > threshold
             state[i + 1 :][later & (state[i + 1 :] == _OPEN)] = _DROPPED
         return pa.table({"id": ids[state == _KEPT]})
 
