@@ -420,16 +420,17 @@ class VecGraphMemory(Memory):
             F.explode(F.array("subject_key", "object_key")).alias("entity_key"), "source_hash"
         ).distinct()
         self.store.append("sources", ends.join(self.sources(), ["entity_key", "source_hash"], "left_anti"))
-        # Rows kept earlier can never fall later, so only the new ones are judged.
-        stored = self.triplets()
-        judged = semantic_dedup(
-            stored.select(F.col("trip_id").alias("id"), "embedding", F.lit(True).alias("settled")).unionByName(
-                fresh.select(F.col("trip_id").alias("id"), "embedding", F.lit(False).alias("settled"))
-            ),
-            self.config.vecgraph.dedup_threshold,
-        )
+        # Rows kept earlier can never fall later, so only the new ones are judged:
+        # first against the stored ledger, which is read once and not shuffled for
+        # a small addition, then among themselves.
+        threshold = self.config.vecgraph.dedup_threshold
+        corpus = self.triplets().select(F.col("trip_id").alias("id"), F.col("embedding").alias("vec"))
+        nearest = knn.knn_search(corpus, fresh.select(F.col("trip_id").alias("qid"), F.col("embedding").alias("vec")), 1)
+        stale = nearest.where(F.col("cos") > threshold).select(F.col("qid").alias("trip_id"))
+        new = checkpoint(fresh.join(stale, "trip_id", "left_anti"))
+        judged = semantic_dedup(new.select(F.col("trip_id").alias("id"), "embedding"), threshold)
         kept = judged.where("kept").select(F.col("id").alias("trip_id"))
-        self.store.append("triplets", fresh.join(kept, "trip_id", "left_semi"))
+        self.store.append("triplets", new.join(kept, "trip_id", "left_semi"))
 
     def _search(self, queries: DataFrame) -> DataFrame:
         stripped = queries.withColumn("query", strip_ws(F.col("query")))

@@ -119,6 +119,20 @@ def test_merged_names_take_the_canonical_form(spark, tmp_path):
     assert [r[1:] for r in rows] == [("N. Tesla", "lives"), ("N. Tesla", "works"), ("N. Tesla", "rests")]
 
 
+def test_later_triplets_are_judged_like_earlier_ones(spark, tmp_path):
+    """Two ingestions leave the same ledger as one, with near copies within and across them."""
+    texts = [f"Alpha{i % 5} was born in Town{i % 4}." for i in range(12)] + [f"Town{i} is the capital of Land{i}." for i in range(4)]
+    ledgers = []
+    for parts in ([texts], [texts[:7], texts[7:]]):
+        memory = build_memory(spark, variant("vecgraph", tmp_path / str(len(parts))), plugins.offline_models(dim=16))
+        memory.config.vecgraph.dedup_threshold = 0.6
+        for part in parts:
+            memory.ingest_documents(part)
+        rows = memory.triplets().orderBy("trip_id").collect()
+        ledgers.append([(r.subject, r.description, r.object) for r in rows])
+    assert ledgers[0] == ledgers[1] and 0 < len(ledgers[0]) < 16
+
+
 def dataset_file(tmp_path):
     (tmp_path / "d").mkdir()
     data = {"documents": TEXTS, "questions": [{"question": "Where was Tesla born?", "expected": "Smiljan", "hops": 1},
