@@ -492,7 +492,7 @@ def qa_summary(spark, folder):
 
 
 @_query
-def qa_pipeline(spark, folder):
+def qa_answers(spark, folder):
     """Benchmark texts answered from the documents: retrieve, assemble the prompt, reason."""
     config = ExperimentConfig(
         variant_name="registered", agent_type="dummy", data_file="documents",

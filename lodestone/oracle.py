@@ -318,7 +318,7 @@ SQL["qa_summary"] = f"""
     WITH {_SCORES} SELECT count(*) AS questions, round(avg(exact_match), 6) AS em, round(avg(f1), 6) AS f1 FROM scores
 """
 
-SQL["qa_pipeline"] = f"""
+SQL["qa_answers"] = f"""
     WITH {_OVERLAP},
     ctx AS (SELECT qid, count(*) AS n, string_agg(text, chr(10) ORDER BY rank) AS c
         FROM hits JOIN (SELECT doc_id, text FROM documents) USING (doc_id) GROUP BY qid)
