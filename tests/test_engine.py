@@ -176,6 +176,7 @@ def test_single_question_and_tool(spark, tmp_path):
 def test_command_line(spark, tmp_path, config_file, capsys):
     assert cli.main(["--variant", "base"]) == 1
     folder = dataset_file(tmp_path)
+    config_file.write_text(MINIMAL.replace("log_level: DEBUG", f"output_dir: {tmp_path / 'log'}"))
     code = cli.main(["--variant", "base", "--ingest", "--qa", "--config", str(config_file), "--data-dir", folder,
                      "--output-dir", str(tmp_path / "o"), "--models", "offline"])
     assert code == 0 and "results.jsonl" in capsys.readouterr().out
