@@ -123,3 +123,40 @@ def maybe_in(df: DataFrame, column: Column, wanted: DataFrame, wanted_column: Co
         tested.join(F.broadcast(bitmap), F.col("__at") == F.col("__place"))
         .where(F.col("__bits").bitwiseAND(F.col("__own")) != 0).select(*[F.col(f"`{c}`") for c in names])
     )
+
+
+def groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows that agree in the first ``keys`` columns (integers, never null), of sorted input."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        change = np.zeros(batch.num_rows, dtype=bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        change[0] = last is not None and last != tuple(c[0] for c in columns)
+        starts = np.flatnonzero(change)
+        begin = 0
+        for at in starts:
+            if at > begin:
+                held.append(batch.slice(begin, at - begin))
+            if held:
+                yield pa.Table.from_batches(held)
+            held, begin = [], at
+        held.append(batch.slice(begin))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def arrays(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    """A list column as one numpy array per row."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    flat = column.values.to_numpy(zero_copy_only=False)
+    ends = column.offsets.to_numpy()
+    return [flat[ends[i] : ends[i + 1]] for i in range(len(column))]
