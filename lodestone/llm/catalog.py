@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bottomk, decontam, toxicity
+from lodestone.llm import bottomk, decontam, linededup, mixing, toxicity
 from lodestone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,17 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document in a mix of the sources by weight."""
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without runs of lines that occur earlier."""
+    done = linededup.without_repeats(table(spark, sf_dir, "documents"))
+    return done.selectExpr("doc_id", "__lines AS n_lines", "__removed AS n_removed", "text")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of every document occurs in benchmark items, by windows of 13 words."""
     found = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -32,6 +43,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op3_minhash": op3_minhash,
+    "op7_mixing": op7_mixing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
 }
 
