@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bottomk, decontam, linededup, mixing, toxicity
+from lodestone.llm import (
+    bottomk, decontam, licences, linededup, mixing, sanitise, topk, toxicity, warc,
+)
 from lodestone.llm.common import table
+from lodestone.session import checkpoint
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,11 +21,32 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors nearest to every vector whose id is divisible by 20."""
+    vectors = checkpoint(topk.integer_vectors(table(spark, sf_dir, "embeddings")))
+    return topk.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents over 4-word shingles."""
     return bottomk.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers and disclosing terms of all documents."""
+    return sanitise.report(sanitise.scan(table(spark, sf_dir, "documents")))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read again."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases, tags and expressions of all documents."""
+    return licences.scan(table(spark, sf_dir, "documents")).drop("expressions")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document in a mix of the sources by weight."""
     return mixing.taken(table(spark, sf_dir, "documents"))
@@ -42,13 +66,39 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op2_topk": op2_topk,
     "op3_minhash": op3_minhash,
+    "op4_pii": op4_pii,
+    "op5_warc": op5_warc,
+    "op6_licences": op6_licences,
     "op7_mixing": op7_mixing,
     "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
 }
 
 SQL: dict[str, str] = {
+    "op2_topk": """
+        WITH v AS (
+            SELECT vec_id, min(list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+            GROUP BY vec_id),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+        r AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+        b AS (SELECT h, max(page_id) AS best FROM p WHERE n >= 1000 GROUP BY h)
+        SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest,
+            CASE WHEN page_id < best THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id < best THEN best END AS refers_to
+        FROM p LEFT JOIN b ON p.h = b.h
+    """,
     "op9_decontamination": """
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

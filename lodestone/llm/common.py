@@ -100,29 +100,56 @@ def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def _place(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(_BITMAP_ROWS))
+
+
+def _bit(c: Column) -> Column:
+    return F.call_function("shiftrightunsigned", F.xxhash64(c), F.lit(58)).cast("int")
+
+
+def bitmap(wanted: DataFrame, column: Column) -> DataFrame:
+    """``(__place, __bits)``: a set of hashes in 2^24 bits, at most 2^18 rows whatever the input."""
+    return wanted.select(
+        _place(column).alias("__place"), F.call_function("shiftleft", F.lit(1).cast("long"), _bit(column)).alias("__bit")
+    ).groupBy("__place").agg(F.bit_or("__bit").alias("__bits"))
+
+
 def maybe_in(df: DataFrame, column: Column, wanted: DataFrame, wanted_column: Column) -> DataFrame:
     """Rows of ``df`` whose ``column`` may occur in ``wanted``; all that do are among them.
 
-    The test is one bit of a bitmap of fixed size (2^24 bits in 2^18 rows, broadcast).  Of a
-    ``wanted`` beyond its size more other rows pass; nothing is lost, only less is saved.
+    The test is one bit of a bitmap of fixed size, which is broadcast.  Of a ``wanted`` beyond its
+    size more other rows pass; nothing is lost, only less is saved.
     """
-    names = df.columns
+    tested = df.withColumn("__at", _place(column)).withColumn("__own", _bit(column))
+    return (
+        tested.join(F.broadcast(bitmap(wanted, wanted_column)), F.col("__at") == F.col("__place"))
+        .where(F.call_function("shiftrightunsigned", F.col("__bits"), F.col("__own")).bitwiseAND(F.lit(1)) != 0)
+        .select(*[F.col(f"`{c}`") for c in df.columns])
+    )
 
-    def place(c: Column) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(_BITMAP_ROWS))
 
-    def bit(c: Column) -> Column:
-        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c, F.lit(7)), F.lit(64)).cast("int"))
+class MaybeWords(dict):
+    """The same test for words in Python workers: whether a word may be among the wanted ones."""
 
-    bitmap = (
-        wanted.select(place(wanted_column).alias("__place"), bit(wanted_column).alias("__bit"))
-        .groupBy("__place").agg(F.bit_or("__bit").alias("__bits"))
-    )
-    tested = df.withColumn("__at", place(column)).withColumn("__own", bit(column))
-    return (
-        tested.join(F.broadcast(bitmap), F.col("__at") == F.col("__place"))
-        .where(F.col("__bits").bitwiseAND(F.col("__own")) != 0).select(*[F.col(f"`{c}`") for c in names])
-    )
+    def __init__(self, bits: np.ndarray) -> None:
+        super().__init__()
+        self.bits = bits
+
+    @staticmethod
+    def bits_of(wanted: DataFrame, column: Column) -> np.ndarray:
+        """The bitmap as an array of 2 MB."""
+        rows = bitmap(wanted, column).toArrow()
+        bits = np.zeros(_BITMAP_ROWS, dtype=np.int64)
+        bits[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+        return bits.view(np.uint64)
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) >= _CACHED_WORDS:
+            self.clear()
+        h = xxhash.xxh64_intdigest(word.encode(), 42)  # Spark's xxhash64 of a string
+        value = self[word] = bool((int(self.bits[h % _BITMAP_ROWS]) >> (h >> 58)) & 1)
+        return value
 
 
 def groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
