@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import (
-    bottomk, decontam, licences, linededup, mixing, sanitise, topk, toxicity, warc,
+    bottomk, decontam, licences, linededup, mixing, passages, sanitise, topk, toxicity, warc,
 )
 from lodestone.llm.common import table
 from lodestone.session import checkpoint
@@ -64,6 +64,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judged(found).drop("spans")
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more of all documents that repeat one of an earlier document."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_topk": op2_topk,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op7_mixing": op7_mixing,
     "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
+    "op10_passages": op10_passages,
 }
 
 SQL: dict[str, str] = {
