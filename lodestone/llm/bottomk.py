@@ -27,12 +27,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WordHashes, gram_hashes, lists, maybe_in, per_batch, space_words, utf8
+from lodestone.llm.common import (
+    WordHashes, arrays, gram_hashes, groups, lists, maybe_in, per_batch, space_words, utf8,
+)
 from lodestone.llm.components import connected
 from lodestone.session import checkpoint
 
 # Standard deviations an estimate may lie below the threshold before a pair is given up.
 _Z = 5.0
+# Classes of a list that meet in one task at most, on either side; and columns of the overlap matrix.
+_BLOCK = 512
+_COLUMNS = 4096
 
 
 def _sets(words: list[bytes], k: int, hashes: WordHashes) -> np.ndarray:
@@ -119,8 +124,8 @@ def _estimate_passes(a: str, b: str, sketch: int, num: int, den: int) -> Column:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs whose full sets are similar enough."""
-    left = sets.select(F.col("key").alias("a"), F.col("hashes").alias("ha"))
-    right = sets.select(F.col("key").alias("b"), F.col("hashes").alias("hb"))
+    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
+    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
     return (
         pairs.join(left, "a").join(right, "b")
@@ -146,9 +151,11 @@ def near_duplicates(
     )
     shared = _shared(listed, num / den)
     listing = checkpoint(_listings(classes, listed, shared))
-    entries = listing.select("key", F.explode("prefix").alias("value"))
-    # Sketches, sizes and a document of the classes that stand in any list.
-    known = checkpoint(classes.join(listing, "key").select("key", "rep", "n", "sketch", "prefix"))
+    # The classes that stand in any list; from here on a number names a class.
+    known = checkpoint(
+        classes.join(listing, "key").withColumn("node", F.monotonically_increasing_id())
+        .select("node", "key", "rep", "n", "sketch", "prefix")
+    )
     sources = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if known.isEmpty():
         links = None
@@ -156,16 +163,19 @@ def near_duplicates(
         some = maybe_in(sources, F.col("doc_id"), known.where("rep is not null"), F.col("rep"))
         nameless = sources.where("doc_id is null")
         sets = checkpoint(
-            _full_sets(some.unionByName(nameless), shingle).join(known.select("key"), "key", "left_semi")
-            .dropDuplicates(["key"])
+            _full_sets(some.unionByName(nameless), shingle).join(known.select("key", "node"), "key")
+            .select("node", "hashes").dropDuplicates(["node"])
         )
-        links = _links(entries, known, sets, sketch, num, den)
+        links = _links(known, sets, sketch, num, den)
     members = signed.select("doc_id", "n_shingles", "key")
     if links is None:
         rooted = members.withColumn("root", F.col("key"))
     else:
-        roots = connected(links).withColumnRenamed("node", "key")
-        rooted = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        names = known.select("node", "key")
+        roots = connected(links).join(names, "node").join(
+            names.select(F.col("node").alias("root"), F.col("key").alias("root_key")), "root"
+        ).select("key", "root_key")
+        rooted = members.join(roots, "key", "left").withColumn("root", F.coalesce("root_key", "key"))
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(least, "root", "left").select(
         "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"),
@@ -173,46 +183,96 @@ def near_duplicates(
     )
 
 
-def _links(
-    entries: DataFrame, known: DataFrame, sets: DataFrame, sketch: int, num: int, den: int
-) -> DataFrame:
-    entries = checkpoint(entries)
-    sized = entries.groupBy("value").agg(F.min("key").alias("a"), F.count("*").alias("size")).where("size > 1")
-    leaders = entries.join(sized, "value").where("key != a").select("a", F.col("key").alias("b")).distinct()
-    left = known.select(F.col("key").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("asketch"))
-    right = known.select(F.col("key").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bsketch"))
+def _links(known: DataFrame, sets: DataFrame, sketch: int, num: int, den: int) -> DataFrame:
+    entries = checkpoint(known.select("node", F.explode("prefix").alias("value")))
+    sized = entries.groupBy("value").agg(F.min("node").alias("a"), F.count("*").alias("size")).where("size > 1")
+    leaders = entries.join(sized, "value").where("node != a").select("a", F.col("node").alias("b")).distinct()
+    left = known.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("asketch"))
+    right = known.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bsketch"))
     passing = leaders.join(left, "a").join(right, "b").where(_estimate_passes("a", "b", sketch, num, den))
     first = checkpoint(_confirmed(passing.select("a", "b"), sets, num, den))
 
     # Lists of three or more that still hold several components.
-    roots = connected(first).withColumnRenamed("node", "key")
-    placed = entries.join(sized.where("size > 2").select("value", "a"), "value").join(roots, "key", "left").select(
-        "value", "key", F.col("a").alias("leader"), F.coalesce("root", "key").alias("root")
+    placed = checkpoint(
+        entries.join(sized.where("size > 2"), "value").join(connected(first), "node", "left")
+        .select("value", "node", F.col("a").alias("leader"), F.coalesce("root", "node").alias("root"), "size")
     )
-    placed = checkpoint(placed)
     counts = placed.groupBy("value", "root").agg(F.count("*").alias("c"))
     open_lists = counts.groupBy("value").agg(
         F.max(F.struct("c", "root")).getField("root").alias("top"), F.count("*").alias("roots")
     ).where("roots > 1").select("value", "top")
-    still = placed.join(open_lists, "value").join(known, "key").select(
-        "value", "key", "leader", "root", "top", "n", "sketch", "prefix"
-    )
-    still = checkpoint(still)
-    one = still.where("root != top").select(
-        "value", F.col("key").alias("a"), F.col("root").alias("aroot"), F.col("n").alias("an"),
-        F.col("sketch").alias("asketch"), F.col("prefix").alias("aprefix"), "leader",
-    )
-    other = still.select(
-        F.col("value").alias("bvalue"), F.col("key").alias("b"), F.col("root").alias("broot"),
-        F.col("n").alias("bn"), F.col("sketch").alias("bsketch"), F.col("prefix").alias("bprefix"), "top",
-    )
-    condition = (
-        (F.col("value") == F.col("bvalue")) & (F.col("aroot") != F.col("broot"))
-        & ((F.col("broot") == F.col("top")) | (F.col("a") < F.col("b")))
-        & (F.col("a") != F.col("leader")) & (F.col("b") != F.col("leader"))
-        & (F.array_min(F.array_intersect("aprefix", "bprefix")) == F.col("value"))
-        & _estimate_passes("a", "b", sketch, num, den)
-    )
-    rest = one.join(other, condition).select("a", "b").distinct()
-    second = _confirmed(rest, sets, num, den)
+    rest = _rest(placed.join(open_lists, "value"), known, sketch, num, den)
+    second = _confirmed(rest.distinct(), sets, num, den)
     return checkpoint(first.unionByName(second))
+
+
+def _rest(placed: DataFrame, known: DataFrame, sketch: int, num: int, den: int) -> DataFrame:
+    """Pairs ``(a, b)`` of open lists whose estimates pass; a list meets itself in blocks of bounded size."""
+    blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node", "value"), F.col("blocks")).cast("int")
+    rows = (
+        placed.withColumn("blocks", blocks).withColumn("own", own)
+        .join(known.select("node", "n", "sketch", "prefix"), "node")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
+            "own", "node", "root", "n", (F.col("root") == F.col("top")).alias("settled"),
+            (F.col("node") == F.col("leader")).alias("leads"), "sketch", "prefix",
+        )
+    )
+
+    def work(batches):
+        for group in groups(batches, 3):
+            found = _compare(group, sketch, num / den)
+            if found is not None:
+                yield found
+
+    spread = rows.repartition("value", "x", "y").sortWithinPartitions("value", "x", "y")
+    return spread.mapInArrow(work, "a long, b long")
+
+
+def _overlaps(sketches: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """Common values of the sketches in ``rows`` with all sketches."""
+    values, codes, counts = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
+    shared = np.cumsum(counts > 1) - 1
+    keep = counts[codes] > 1
+    owner, codes = owner[keep], shared[codes[keep]]
+    total = np.zeros((len(rows), len(sketches)), dtype=np.float32)
+    for begin in range(0, int(shared[-1]) + 1 if len(shared) else 0, _COLUMNS):
+        some = (codes >= begin) & (codes < begin + _COLUMNS)
+        width = min(_COLUMNS, int(shared[-1]) + 1 - begin)
+        held = np.zeros((len(sketches), width), dtype=np.float32)
+        held[owner[some], codes[some] - begin] = 1.0
+        total += held[rows] @ held.T
+    return total
+
+
+def _compare(group: pa.Table, sketch: int, j: float) -> pa.RecordBatch | None:
+    value, x, y = (group.column(i)[0].as_py() for i in range(3))
+    own, node, root, n = (group.column(i).to_numpy() for i in range(3, 7))
+    settled, leads = (group.column(i).to_numpy() for i in (7, 8))
+    rows = np.flatnonzero(~settled & ~leads)
+    if not len(rows):
+        return None
+    sketches = arrays(group.column("sketch"))
+    common = _overlaps(sketches, rows)
+    # Both sketches are complete up to the smaller of their last values.
+    last = np.array([s[-1] if len(s) == sketch else np.iinfo(np.int64).max for s in sketches])
+    reach = np.array([np.searchsorted(sketches[i], last, side="right") for i in rows])
+    back = np.array([np.searchsorted(s, last[rows], side="right") for s in sketches]).T
+    union = reach + back - common
+    whole = (n[rows][:, None] + n[None, :]) / (1 + j)
+    spread = np.sqrt(j * (1 - j) / union * np.maximum(0.0, 1 - union / whole))
+    sizes = np.minimum(n[rows][:, None], n[None, :]) >= (j - 1e-9) * np.maximum(n[rows][:, None], n[None, :])
+    good = sizes & (common >= (j - 1e-9 - _Z * spread) * union) & (root[rows][:, None] != root[None, :])
+    good &= ~leads[None, :] & (settled[None, :] | (node[rows][:, None] < node[None, :]))
+    if x != y:
+        good &= own[rows][:, None] != own[None, :]
+    left, right = np.nonzero(good)
+    if not len(left):
+        return None
+    prefixes = [set(p.tolist()) for p in arrays(group.column("prefix"))]
+    first = [min(prefixes[rows[a]] & prefixes[b]) == value for a, b in zip(left, right, strict=True)]
+    left, right = rows[left[first]], right[first]
+    return pa.RecordBatch.from_arrays([pa.array(node[left]), pa.array(node[right])], ["a", "b"])
