@@ -121,13 +121,13 @@ def mixture(
     )
     shards = F.lit(max(1, round(share * (sources.agg(F.sum("source_size")).first()[0] or 0) / shard_words)))
     # A row per run of slots first, so that the slots of a large source are made by many tasks.
-    run = 1 << 16
+    run = 1 << 12
     runs = filled.where("slots > 0").select(
         "source", "blocks", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(run).cast("long"))).alias("begin")
     )
     key = F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.floor(F.col("slot") / F.col("blocks")), F.lit(seed))
     slots = (
-        runs.repartition(F.col("source"), F.col("begin"))
+        runs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "begin")
         .select("source", "blocks", F.explode(F.sequence("begin", F.least(F.col("begin") + run, F.col("slots")) - 1)).alias("slot"))
         .select(
             F.pmod(F.xxhash64("source", "slot", F.lit(seed + 1)), shards).alias("shard"), "source",
@@ -150,7 +150,8 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)``: the words the mix takes of every row, repeats counted."""
     documents, slots, pieces = mixture(docs, **options)
     times = slots.groupBy("source", "block").agg(F.count("*").alias("times"))
-    left, right = pieces.alias("p"), times.alias("t")
+    # Slots are made of few rows, from whose size the planner would take them for small.
+    left, right = pieces.alias("p"), times.hint("merge").alias("t")
     used = (
         left.join(right, F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block")))
         .groupBy(F.col("p.source").alias("__source"), F.col("p.before").alias("__before"), F.col("p.doc_id").alias("__doc"))
@@ -161,6 +162,6 @@ def taken(docs: DataFrame, **options) -> DataFrame:
         F.col("source").eqNullSafe(F.col("__source")) & (F.col("before") == F.col("__before"))
         & F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("size") > 0)
     )
-    return documents.join(used, match, "left").select(
+    return documents.join(used.hint("merge"), match, "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
