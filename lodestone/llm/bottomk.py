@@ -201,9 +201,21 @@ def _links(known: DataFrame, sets: DataFrame, sketch: int, num: int, den: int) -
     open_lists = counts.groupBy("value").agg(
         F.max(F.struct("c", "root")).getField("root").alias("top"), F.count("*").alias("roots")
     ).where("roots > 1").select("value", "top")
-    rest = _rest(placed.join(open_lists, "value"), known, sketch, num, den)
-    second = _confirmed(rest.distinct(), sets, num, den)
-    return checkpoint(first.unionByName(second))
+    rest = checkpoint(
+        _rest(placed.join(open_lists, "value"), known, sketch, num, den)
+        .groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+    )
+    # The likeliest partner of each class first: links that join components spare the others.
+    likeliest = rest.groupBy("a").agg(F.max(F.struct("estimate", "b")).getField("b").alias("b"))
+    links = checkpoint(first.unionByName(_confirmed(likeliest, sets, num, den)))
+    roots = connected(links)
+    apart = (
+        rest.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+        .join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+        .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+        .join(likeliest, ["a", "b"], "left_anti")
+    )
+    return checkpoint(links.unionByName(_confirmed(apart, sets, num, den)))
 
 
 def _rest(placed: DataFrame, known: DataFrame, sketch: int, num: int, den: int) -> DataFrame:
@@ -228,7 +240,7 @@ def _rest(placed: DataFrame, known: DataFrame, sketch: int, num: int, den: int)
                 yield found
 
     spread = rows.repartition("value", "x", "y").sortWithinPartitions("value", "x", "y")
-    return spread.mapInArrow(work, "a long, b long")
+    return spread.mapInArrow(work, "a long, b long, estimate double")
 
 
 def _overlaps(sketches: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
@@ -274,5 +286,8 @@ def _compare(group: pa.Table, sketch: int, j: float) -> pa.RecordBatch | None:
         return None
     prefixes = [set(p.tolist()) for p in arrays(group.column("prefix"))]
     first = [min(prefixes[rows[a]] & prefixes[b]) == value for a, b in zip(left, right, strict=True)]
-    left, right = rows[left[first]], right[first]
-    return pa.RecordBatch.from_arrays([pa.array(node[left]), pa.array(node[right])], ["a", "b"])
+    left, right = left[first], right[first]
+    estimate = (common[left, right] / union[left, right]).astype(np.float64)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(node[rows[left]]), pa.array(node[right]), pa.array(estimate)], ["a", "b", "estimate"]
+    )
