@@ -15,7 +15,9 @@ filter of fixed size.
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -34,6 +36,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W\d_]{4,40}")
 _NEAR = 8
+_COUNTED = 300_000
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -141,8 +144,6 @@ def base(docs: DataFrame) -> DataFrame:
 def _mentions(text: str, spans: list[list[tuple[int, int]]]) -> list[dict]:
     terms = _free_terms(text, spans)
     starts = [t[1] for t in terms]
-    import bisect
-
     near: dict[str, set[str]] = {}
     for kind, part in zip(KINDS, spans, strict=True):
         for a, b in part:
@@ -188,24 +189,28 @@ def _row(docs: DataFrame) -> DataFrame:
     )
 
 
-def disclosures(
-    found: DataFrame, occurrences: DataFrame, documents: int, least: int, likely: float, bits: float
-) -> DataFrame:
-    """``(term, bits, share)`` of the terms that disclose an entity beyond the thresholds."""
-    mentions = found.where("size(near) > 0").select("row", F.explode("near").alias("m")).select(
-        "row", F.col("m.entity").alias("entity"), F.col("m.terms").alias("terms")
-    ).distinct()
-    held = mentions.groupBy("entity").agg(F.count_distinct("row").alias("n_e"))
-    pairs = mentions.select("row", "entity", F.explode("terms").alias("term")).groupBy("term", "entity").agg(
-        F.count_distinct("row").alias("n_te")
-    ).where(F.col("n_te") >= least)
-    spread = occurrences.groupBy("term").agg(F.count_distinct("row").alias("n_t"))
-    share = F.col("n_te") / F.col("n_t")
-    told = F.log2(share * documents / F.col("n_e"))
-    return (
-        pairs.join(held, "entity").join(spread, "term").withColumn("share", share).withColumn("bits", told)
-        .where((F.col("share") >= likely) & (F.col("bits") >= bits))
-        .groupBy("term").agg(F.max("bits").alias("bits"), F.max("share").alias("share"))
+def _frequencies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(term, n_t)``: the number of rows with each term that may be in ``wanted(term)``."""
+    bits = MaybeWords.bits_of(wanted, F.col("term"))
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe = MaybeWords(bits)
+        counts: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    counts.update(w for w in set(_TERM.findall(text.lower())) if maybe[w])
+            if len(counts) > _COUNTED:
+                yield _count_batch(counts)
+                counts.clear()
+        yield _count_batch(counts)
+
+    return docs.select("text").mapInArrow(work, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+
+
+def _count_batch(counts: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"]
     )
 
 
@@ -213,27 +218,34 @@ def scan(docs: DataFrame, least: int = 3, likely: float = 0.5, bits: float = 6.0
     """``(row, doc_id, n_<kind>..., base, terms)`` per row of ``docs(doc_id, text)``.
 
     ``terms`` lists the spans of disclosing terms with their bits and shares, by start.  A term must
-    stand near the entity in ``least`` documents, be followed by it in a share ``likely`` of its
-    documents and tell ``bits`` bits.  Null and empty texts hold nothing; rows that repeat an id
-    and a text count once in the statistics.  Other columns are ignored.
+    stand near the entity in ``least`` rows, be followed by it in a share ``likely`` of its rows and
+    tell ``bits`` bits.  Null and empty texts hold nothing; every row counts in the statistics, also
+    one that repeats another.  Other columns are ignored.
     """
     source = _row(docs)
     found = checkpoint(base(source))
-    candidates = checkpoint(
-        found.where("size(near) > 0").select("row", F.explode("near").alias("m"))
-        .select("row", F.col("m.entity").alias("entity"), F.explode("m.terms").alias("term"))
-        .groupBy("term", "entity").agg(F.count_distinct("row").alias("n")).where(F.col("n") >= least)
-        .select("term").distinct()
+    mentions = found.where("size(near) > 0").select(F.explode("near").alias("m")).select(
+        F.col("m.entity").alias("entity"), F.col("m.terms").alias("terms")
+    )
+    held = mentions.groupBy("entity").agg(F.count("*").alias("n_e"))
+    pairs = checkpoint(
+        mentions.select("entity", F.explode("terms").alias("term")).groupBy("term", "entity")
+        .agg(F.count("*").alias("n_te")).where(F.col("n_te") >= least)
     )
     counts = ["doc_id", *[f"n_{k}" for k in KINDS], "base"]
     none = F.array().cast("array<struct<a:int,b:int,bits:double,share:double>>")
-    if candidates.isEmpty():
+    share = F.col("n_te") / F.col("n_t")
+    told = F.log2(share * found.count() / F.col("n_e"))
+    telling = checkpoint(
+        pairs.join(held, "entity").join(_frequencies(source, pairs), "term")
+        .withColumn("share", share).withColumn("bits", told)
+        .where((F.col("share") >= likely) & (F.col("bits") >= bits))
+        .groupBy("term").agg(F.max("bits").alias("bits"), F.max("share").alias("share"))
+    )
+    if telling.isEmpty():
         return found.select("row", *counts, none.alias("terms"))
-    occurrences = checkpoint(_occurrences(source, candidates).join(candidates, "term", "left_semi").distinct())
-    documents = found.count()
-    telling = disclosures(found, occurrences, documents, least, likely, bits)
     spans = (
-        occurrences.join(telling, "term")
+        _occurrences(source, telling).distinct().join(telling, "term")
         .select("row", F.transform("at", lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), F.col("bits"), F.col("share"))).alias("s"))
         .groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("terms"))
     )
