@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from lodestone.llm import bottomk, decontam, linededup, mixing, toxicity  # noqa: E402
 from lodestone.llm.common import table  # noqa: E402
-from lodestone.session import checkpoint_dir  # noqa: E402
+from lodestone.session import checkpoint, checkpoint_dir  # noqa: E402
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without runs of lines seen earlier; documents of which nothing remains go."""
-    done = linededup.without_repeats(docs)
+    # Written once: a filter pushed into the projection would split the texts anew for every line.
+    done = checkpoint(linededup.without_repeats(docs))
     emptied = (F.col("__removed") > 0) & (F.trim(F.col("text")) == "")
     if "n_chars" in docs.columns:
         counted = F.when(F.col("__removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
