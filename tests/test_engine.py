@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import main as cli
 from lodestone import plugins
-from lodestone.config import ExperimentConfig, list_variants, load_config, merge
+from lodestone.config import ExperimentConfig, layered, list_variants, load_config
 from lodestone.plans.agent import Agent
 from lodestone.plans.memories import MEMORIES, build_memory
 from lodestone.plans.pipelines import run_ingest, run_qa
@@ -46,7 +46,7 @@ def test_variants_merge_over_defaults(config_file):
     assert (cfg.llm.model, cfg.llm.temperature, cfg.telemetry.log_level) == ("p/m", 0.5, "DEBUG")
     assert list_variants(config_file) == ["base", "graph", "wrong", "overlap", "model"]
     base = {"a": {"b": 1, "c": 2}}
-    assert merge(base, {"a": {"c": 3}, "d": 4}) == {"a": {"b": 1, "c": 3}, "d": 4} and base == {"a": {"b": 1, "c": 2}}
+    assert layered(base, {"a": {"c": 3}, "d": 4}) == {"a": {"b": 1, "c": 3}, "d": 4} and base == {"a": {"b": 1, "c": 2}}
 
 
 def test_invalid_variants_are_refused(config_file):
