@@ -251,8 +251,8 @@ def extract_paragraphs(spark, folder):
     context = F.struct(
         F.array("source").alias("title"), F.array(F.split("text", "\n")).alias("sentences")
     )
-    texts = dataset.extract_documents(docs.select(F.col("doc_id").alias("idx"), context.alias("context")))
-    return texts.select((F.shiftright("doc_id", 20)).alias("doc_id"), "text")
+    texts = dataset.distinct_paragraphs(docs.select(F.col("doc_id").alias("idx"), context.alias("context")))
+    return texts.select(F.col("idx").alias("doc_id"), "text")
 
 
 @_query

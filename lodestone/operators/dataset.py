@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import paragraph
-from lodestone.operators.ranking import top_k
+from lodestone.operators.ranking import running_number, top_k
 from lodestone.session import checkpoint
 
 
@@ -58,11 +58,10 @@ def stratified_sample(rows: DataFrame, keys: Sequence[str], n: int, order: str =
     return chosen.select(F.row_number().over(place).cast("long").alias("position"), order, *keys)
 
 
-def extract_documents(samples: DataFrame) -> DataFrame:
-    """``(doc_id, text)`` of samples ``(idx, context<title, sentences>)``: distinct paragraphs.
+def distinct_paragraphs(samples: DataFrame) -> DataFrame:
+    """``(idx, pos, text)`` of samples ``(idx, context<title, sentences>)``: each paragraph at its first place.
 
-    Titles and sentence lists are paired up to the shorter of the two.  A
-    paragraph keeps the place where it occurs first, and the ids follow that order.
+    Titles and sentence lists are paired up to the shorter of the two.
     """
     pairs = F.slice(
         F.arrays_zip(F.col("context.title").alias("title"), F.col("context.sentences").alias("sentences")),
@@ -70,14 +69,15 @@ def extract_documents(samples: DataFrame) -> DataFrame:
         F.least(F.size("context.title"), F.size("context.sentences")),
     )
     exploded = samples.where(F.col("context").isNotNull()).select("idx", F.posexplode(pairs).alias("pos", "p"))
-    texts = exploded.select("idx", "pos", paragraph(F.col("p.title"), F.col("p.sentences")).alias("text"))
-    return first_paragraphs(texts)
+    place = F.struct(F.col("idx").cast("long").alias("idx"), "pos")
+    texts = exploded.select(place.alias("place"), paragraph(F.col("p.title"), F.col("p.sentences")).alias("text"))
+    return texts.groupBy("text").agg(F.min("place").alias("place")).select("place.idx", "place.pos", "text")
 
 
-def first_paragraphs(texts: DataFrame) -> DataFrame:
-    """``(doc_id, text)`` of ``(idx, pos, text)``: each text once, at its first place."""
-    place = F.shiftleft(F.col("idx").cast("long"), 20) + F.col("pos")
-    return texts.groupBy("text").agg(F.min(place).alias("doc_id")).select("doc_id", "text")
+def extract_documents(samples: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` of samples: distinct paragraphs, numbered from 0 in the order of their first places."""
+    numbered = running_number(distinct_paragraphs(samples), [], ["idx", "pos"], name="doc_id")
+    return numbered.select((F.col("doc_id") - 1).alias("doc_id"), "text")
 
 
 def extract_questions(samples: DataFrame) -> DataFrame:

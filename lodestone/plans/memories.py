@@ -28,8 +28,6 @@ from lodestone.sources.store import TableStore
 
 _DOCS = "doc_id long, text string"
 _HITS = "qid long, rank long, text string"
-# Chunks of a document are numbered within this many bits.
-_CHUNK_BITS = 24
 
 
 class Memory(ABC):
@@ -40,6 +38,8 @@ class Memory(ABC):
 
     def __init__(self, spark: SparkSession, config: ExperimentConfig, models: Models) -> None:
         self.spark, self.config, self.models = spark, config, models
+        if not config.memory_path and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("memory_path must name a folder all executors share")
         root = config.memory_path or tempfile.mkdtemp(prefix=f"lodestone-{self.name}-")
         self.store = TableStore(spark, root)
         # Records of model calls not yet written to the log.
@@ -93,8 +93,13 @@ class Memory(ABC):
         last = table.agg(F.max(column)).first()[0]
         return 0 if last is None else int(last) + 1
 
-    def _log(self, replies: DataFrame, column: str, phase: str, actor: str, run_id: Column) -> None:
-        """Note the calls behind a column of replies."""
+    def _numbered_behind(self, stored: DataFrame, rows: DataFrame, order: list[str], column: str) -> DataFrame:
+        """``rows`` numbered in their order behind the ids stored so far, whatever their own ids are."""
+        numbered = running_number(rows, [], order, name=column)
+        return numbered.withColumn(column, F.col(column) + F.lit(self._after(stored, column) - 1))
+
+    def _log(self, replies: DataFrame, column: str, phase: str, actor: str, run_id: Column, model: str | None = None) -> None:
+        """Note the calls behind a column of replies, by default of the language model."""
         r = F.col(column)
         calls = replies.select(
             r["error"].isNull().alias("ok"),
@@ -103,7 +108,7 @@ class Memory(ABC):
             F.lit(phase).alias("phase"),
             F.lit(actor).alias("actor"),
             F.lit(self.config.variant_name).alias("variant_name"),
-            F.lit(self.config.llm.model).alias("model"),
+            F.lit(model or self.config.llm.model).alias("model"),
             r["prompt_tokens"].alias("prompt_tokens"),
             r["completion_tokens"].alias("completion_tokens"),
             r["reasoning_tokens"].alias("reasoning_tokens"),
@@ -121,7 +126,7 @@ class Memory(ABC):
             F.lit(0).cast("long").alias("reasoning_tokens"), words.alias("total_tokens"),
             F.lit(0.0).alias("seconds"), F.lit(None).cast("string").alias("error"),
         )
-        self._log(texts.select(reply.alias("r")), "r", phase, "vector_embed", F.lit(run_id))
+        self._log(texts.select(reply.alias("r")), "r", phase, "vector_embed", F.lit(run_id), self.config.embedding.model)
 
     def _texts(self, hits: DataFrame, table: DataFrame, key: str, text: Column | str) -> DataFrame:
         """Texts of hits.  The hits are written out, so that the join sees how few they are."""
@@ -137,8 +142,8 @@ class _PassageMemory(Memory):
         return self.store.read("docs", _DOCS)
 
     def _numbered(self, docs: DataFrame) -> DataFrame:
-        offset = self._after(self.docs(), "doc_id")
-        return clean_documents(docs).withColumn("doc_id", F.col("doc_id") + F.lit(offset))
+        fresh = clean_documents(docs).withColumnRenamed("doc_id", "__place")
+        return self._numbered_behind(self.docs(), fresh, ["__place", "text"], "doc_id").select("doc_id", "text")
 
     def _ingest(self, docs: DataFrame, phase: str, run_id: str, chunked: bool) -> None:
         self.store.append("docs", self._numbered(docs))
@@ -199,14 +204,14 @@ class VectorMemory(Memory):
 
     def _cut(self, docs: DataFrame, chunked: bool) -> DataFrame:
         """``(chunk_id, chunk)``; a fact stays whole."""
-        offset = self._after(self.chunks(), "chunk_id")
         if chunked:
             cut = self.config.ingestion
             pieces = chunk_documents(docs, cut.chunk_size, cut.chunk_overlap)
         else:
             pieces = clean_documents(docs).select("doc_id", F.lit(0).alias("chunk_no"), F.col("text").alias("chunk"))
-        place = F.shiftleft("doc_id", _CHUNK_BITS) + F.col("chunk_no")
-        return pieces.select((place + F.lit(offset)).alias("chunk_id"), "chunk")
+        pieces = pieces.select("doc_id", "chunk_no", "chunk")
+        numbered = self._numbered_behind(self.chunks(), pieces, ["doc_id", "chunk_no", "chunk"], "chunk_id")
+        return numbered.select("chunk_id", "chunk")
 
     def _ingest(self, docs: DataFrame, phase: str, run_id: str, chunked: bool) -> None:
         pieces = self._cut(docs, chunked)
@@ -239,9 +244,8 @@ class GraphMemory(Memory):
         replies = checkpoint(asked.select("doc_id", self.models.triples(F.col("text")).alias("r")))
         self._log(replies, "r", phase, "graph_extract", F.lit(run_id))
         found = triples.parse_edges(replies.select("doc_id", F.col("r.reply").alias("reply")))
-        offset = self._after(self.edges(), "eid")
-        place = F.shiftleft("doc_id", _CHUNK_BITS) + F.col("item_no")
-        return found.select((place + F.lit(offset)).alias("eid"), "subject", "predicate", "object")
+        order = ["doc_id", "item_no", "subject", "predicate", "object"]
+        return self._numbered_behind(self.edges(), found, order, "eid").select("eid", "subject", "predicate", "object")
 
     def _ingest(self, docs: DataFrame, phase: str, run_id: str, chunked: bool) -> None:
         first = triples.dedup_edges(self._new_edges(docs, phase, run_id))
@@ -337,8 +341,7 @@ class VecGraphMemory(Memory):
                 "doc_id", F.lit(0).alias("chunk_no"), F.col("text").alias("chunk"),
                 text_md5(F.col("text")).alias("source_hash"),
             )
-        place = F.shiftleft("doc_id", _CHUNK_BITS) + F.col("chunk_no")
-        return pieces.select(place.alias("chunk_id"), "chunk", "source_hash")
+        return pieces.select("doc_id", "chunk_no", "chunk", "source_hash")
 
     def _resolve(self, found: DataFrame, phase: str, run_id: str) -> None:
         """Create entities and aliases for the names of new triplets, in order of occurrence."""
@@ -358,7 +361,7 @@ class VecGraphMemory(Memory):
         fresh = checkpoint(
             fresh.select("entity_id", "entity_key", "name", self.models.embed(F.col("name")).alias("embedding"))
         )
-        self._log_embedding(fresh, F.col("name"), "ingest", run_id)
+        self._log_embedding(fresh, F.col("name"), phase, run_id)
         everyone = known.withColumn("settled", F.lit(True)).unionByName(fresh.withColumn("settled", F.lit(False)))
 
         def select(name: Column, candidates: Column) -> Column:
@@ -393,14 +396,15 @@ class VecGraphMemory(Memory):
     def _ingest(self, docs: DataFrame, phase: str, run_id: str, chunked: bool) -> None:
         chunks = self._chunks(docs, chunked)
         replies = checkpoint(
-            chunks.select("chunk_id", "source_hash", self.models.described_triples(F.col("chunk")).alias("r"))
+            chunks.select("doc_id", "chunk_no", "source_hash", self.models.described_triples(F.col("chunk")).alias("r"))
         )
         self._log(replies, "r", phase, "graph_extract", F.lit(run_id))
         parsed = triples.parse_triplets(
-            replies.select("chunk_id", "source_hash", F.col("r.reply").alias("reply")), "chunk_id", "source_hash"
+            replies.select("doc_id", "chunk_no", "source_hash", F.col("r.reply").alias("reply")),
+            "doc_id", "chunk_no", "source_hash",
         )
-        ordered = running_number(parsed, [], ["chunk_id", "item_no"], name="ord")
-        found = checkpoint(ordered.drop("chunk_id", "item_no"))
+        order = ["doc_id", "chunk_no", "source_hash", "item_no"]
+        found = checkpoint(running_number(parsed, [], order, name="ord").drop("doc_id", "chunk_no", "item_no"))
         self._resolve(found, phase, run_id)
         keyed = self._canonical(self._canonical(found, "subject"), "object")
         offset = self._after(self.triplets(), "trip_id")

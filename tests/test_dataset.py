@@ -35,6 +35,14 @@ def test_paragraphs_pair_up_to_the_shorter_list_and_keep_the_first(spark):
     assert [r.text for r in rows] == ["T: a. b.", "U: c.", "W: d."]
 
 
+def test_paragraphs_of_any_sample_number_get_small_ids_in_order(spark):
+    samples = spark.createDataFrame(
+        [((1 << 62) + i, (["T"], [[f"{i}."]])) for i in (2, 0, 1)],
+        "idx long, context struct<title: array<string>, sentences: array<array<string>>>")
+    rows = dataset.extract_documents(samples).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.text) for r in rows] == [(0, "T: 0."), (1, "T: 1."), (2, "T: 2.")]
+
+
 def test_answer_wins_over_expected(spark):
     q = spark.createDataFrame([("a", "e"), (None, "e"), (None, None)], "answer string, expected string")
     assert [r[0] for r in q.select(dataset.expected_answer(q)).collect()] == ["a", "e", ""]

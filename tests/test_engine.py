@@ -65,6 +65,22 @@ def variant(kind: str, path) -> ExperimentConfig:
     return cfg
 
 
+@pytest.mark.parametrize("kind", ["dummy", "bm25", "vector", "graph"])
+def test_ids_of_any_size_do_not_collide(spark, tmp_path, kind):
+    memory = build_memory(spark, variant(kind, tmp_path), plugins.offline_models(dim=128))
+    ids = [1, 1 + (1 << 40), 524288 << 20, (1 << 63) - 1]
+    texts = [TEXTS[i] for i in (0, 2, 3, 4)]
+    for _ in range(2):  # the second time behind stored rows
+        memory.ingest_documents(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"))
+    table, column = {"vector": (lambda: memory.chunks(), "chunk_id"), "graph": (lambda: memory.edges(), "eid")}.get(
+        kind, (lambda: memory.docs(), "doc_id"))
+    numbers = sorted(r[0] for r in table().select(column).collect())
+    assert len(set(numbers)) == len(numbers) >= 4 and 0 <= numbers[0] and numbers[-1] < 20
+    if kind == "vector":
+        hits = memory.search_many(spark.createDataFrame([(0, TEXTS[0])], "qid long, query string")).collect()
+        assert sum(r.text == TEXTS[0] for r in hits) == 2
+
+
 @pytest.mark.parametrize("kind", list(MEMORIES))
 def test_memory_life_cycle(spark, tmp_path, kind):
     models = plugins.offline_models(dim=128)
