@@ -11,9 +11,11 @@ Documents of equal shingle sets collapse into one class first, so only classes a
   ``listed - shared + 1`` values that are rarest in the corpus, and only these are listed.
   Values of passages many documents share are thereby listed for near copies only.
 * **Leaders.** The smallest class of every list meets all others of it: a linear number of pairs.
-* **The rest, exactly.** Members of one component need not be compared.  In lists that still hold
-  several components, each class outside of the largest meets every class of another component.
-  There is no cap: what is saved is what connectivity already settles.
+* **The rest, exactly.** Members of one component need not be linked again.  In lists that still
+  hold several components, each class outside of the largest meets every class of another
+  component.  It offers its likeliest partners first; a confirmed one settles the others of that
+  component, and the last round offers all that are still apart.  There is no cap: what is saved
+  is what connectivity already settles.
 * A pair is compared in the list of its first common value only.
 """
 
@@ -38,6 +40,8 @@ _Z = 5.0
 # Classes of a list that meet in one task at most, on either side; and columns of the overlap matrix.
 _BLOCK = 512
 _COLUMNS = 4096
+# Partners a class offers per list and block in successive rounds; the last leaves none out.
+_OFFERS = (1, 8, _BLOCK)
 
 
 def _sets(words: list[bytes], k: int, hashes: WordHashes) -> np.ndarray:
@@ -193,39 +197,50 @@ def _links(known: DataFrame, sets: DataFrame, sketch: int, num: int, den: int) -
     first = checkpoint(_confirmed(passing.select("a", "b"), sets, num, den))
 
     # Lists of three or more that still hold several components.
-    placed = checkpoint(
-        entries.join(sized.where("size > 2"), "value").join(connected(first), "node", "left")
-        .select("value", "node", F.col("a").alias("leader"), F.coalesce("root", "node").alias("root"), "size")
-    )
-    counts = placed.groupBy("value", "root").agg(F.count("*").alias("c"))
-    open_lists = counts.groupBy("value").agg(
-        F.max(F.struct("c", "root")).getField("root").alias("top"), F.count("*").alias("roots")
-    ).where("roots > 1").select("value", "top")
-    rest = checkpoint(
-        _rest(placed.join(open_lists, "value"), known, sketch, num, den)
-        .groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
-    )
-    # The likeliest partner of each class first: links that join components spare the others.
-    likeliest = rest.groupBy("a").agg(F.max(F.struct("estimate", "b")).getField("b").alias("b"))
-    links = checkpoint(first.unionByName(_confirmed(likeliest, sets, num, den)))
-    roots = connected(links)
-    apart = (
-        rest.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-        .join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        .join(likeliest, ["a", "b"], "left_anti")
-    )
-    return checkpoint(links.unionByName(_confirmed(apart, sets, num, den)))
-
+    crowded = checkpoint(entries.join(sized.where("size > 2"), "value"))
+    links, tried = first, None
+    for turn, width in enumerate(_OFFERS):
+        placed = crowded.join(connected(links), "node", "left").select(
+            "value", "node", F.col("a").alias("leader"), F.coalesce("root", "node").alias("root"), "size"
+        )
+        counts = placed.groupBy("value", "root").agg(F.count("*").alias("c"))
+        open_lists = counts.groupBy("value").agg(
+            F.max(F.struct("c", "root")).getField("root").alias("top"), F.count("*").alias("roots")
+        ).where("roots > 1").select("value", "top")
+        offers = checkpoint(
+            _rest(placed.join(open_lists, "value"), known, sketch, num, den, width, inside=turn == 0)
+        )
+        fresh = offers if tried is None else offers.join(tried, ["a", "b"], "left_anti")
+        if width < _BLOCK:
+            fresh = fresh.groupBy("a").agg(F.max(F.struct("estimate", "b")).getField("b").alias("b"))
+        fresh = checkpoint(fresh.select("a", "b"))
+        links = checkpoint(links.unionByName(_confirmed(fresh, sets, num, den)))
+        tried = fresh if tried is None else tried.unionByName(fresh)
+        # A list without offers has no candidates left.  In the first turn the blocks of a list
+        # have not met each other yet, so lists of several blocks stay.
+        offering = offers.select("value").distinct().withColumn("offers", F.lit(True))
+        kept = F.col("offers").isNotNull()
+        if turn == 0:
+            kept = kept | (F.col("size") > _BLOCK)
+        crowded = checkpoint(crowded.join(offering, "value", "left").where(kept).drop("offers"))
+        if crowded.isEmpty():
+            break
+    return links
+
+
+def _rest(
+    placed: DataFrame, known: DataFrame, sketch: int, num: int, den: int, width: int, inside: bool
+) -> DataFrame:
+    """``(value, a, b, estimate)``: of every ``a`` its ``width`` likeliest partners per open list and block.
 
-def _rest(placed: DataFrame, known: DataFrame, sketch: int, num: int, den: int) -> DataFrame:
-    """Pairs ``(a, b)`` of open lists whose estimates pass; a list meets itself in blocks of bounded size."""
+    A list meets itself in blocks of bounded size; with ``inside`` a block meets only itself.
+    """
     blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node", "value"), F.col("blocks")).cast("int")
     rows = (
         placed.withColumn("blocks", blocks).withColumn("own", own)
         .join(known.select("node", "n", "sketch", "prefix"), "node")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("other", F.col("own") if inside else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
             "own", "node", "root", "n", (F.col("root") == F.col("top")).alias("settled"),
@@ -235,12 +250,12 @@ def _rest(placed: DataFrame, known: DataFrame, sketch: int, num: int, den: int)
 
     def work(batches):
         for group in groups(batches, 3):
-            found = _compare(group, sketch, num / den)
+            found = _compare(group, sketch, num / den, width)
             if found is not None:
                 yield found
 
     spread = rows.repartition("value", "x", "y").sortWithinPartitions("value", "x", "y")
-    return spread.mapInArrow(work, "a long, b long, estimate double")
+    return spread.mapInArrow(work, "value long, a long, b long, estimate double")
 
 
 def _overlaps(sketches: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
@@ -260,7 +275,7 @@ def _overlaps(sketches: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
     return total
 
 
-def _compare(group: pa.Table, sketch: int, j: float) -> pa.RecordBatch | None:
+def _compare(group: pa.Table, sketch: int, j: float, width: int) -> pa.RecordBatch | None:
     value, x, y = (group.column(i)[0].as_py() for i in range(3))
     own, node, root, n = (group.column(i).to_numpy() for i in range(3, 7))
     settled, leads = (group.column(i).to_numpy() for i in (7, 8))
@@ -288,6 +303,11 @@ def _compare(group: pa.Table, sketch: int, j: float) -> pa.RecordBatch | None:
     first = [min(prefixes[rows[a]] & prefixes[b]) == value for a, b in zip(left, right, strict=True)]
     left, right = left[first], right[first]
     estimate = (common[left, right] / union[left, right]).astype(np.float64)
+    order = np.lexsort((node[right], -estimate, left))
+    left, right, estimate = left[order], right[order], estimate[order]
+    best = np.arange(len(left)) - np.searchsorted(left, left) < width
+    left, right, estimate = left[best], right[best], estimate[best]
     return pa.RecordBatch.from_arrays(
-        [pa.array(node[rows[left]]), pa.array(node[right]), pa.array(estimate)], ["a", "b", "estimate"]
+        [pa.array([value] * len(left), pa.int64()), pa.array(node[rows[left]]), pa.array(node[right]), pa.array(estimate)],
+        ["value", "a", "b", "estimate"],
     )

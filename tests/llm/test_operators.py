@@ -97,6 +97,35 @@ def test_near_duplicates(spark):
     assert got == {5: (3, False), 3: (3, True), 9: (3, False), 7: (7, True), 8: (2, False), 2: (2, True)}
 
 
+def test_crowds_of_near_copies_equal_brute_force(spark, monkeypatch):
+    # Small blocks, so that lists meet themselves over several of them.
+    monkeypatch.setattr(bottomk, "_BLOCK", 8)
+    monkeypatch.setattr(bottomk, "_OFFERS", (1, 2, 8))
+    rng = random.Random(4)
+    texts = []
+    for crowd in range(3):
+        base = [f"c{crowd}w{i}" for i in range(120)]
+        for _ in range(40):
+            copy = base[:]
+            for at in rng.sample(range(120), rng.randint(0, 6)):
+                copy[at] = f"x{rng.randrange(30)}"
+            texts.append(" ".join(copy))
+    sets = []
+    for t in texts:
+        words = t.split()
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    root, before = list(range(len(texts))), None
+    while root != before:
+        before = root[:]
+        for i, a in enumerate(sets):
+            for k in range(i):
+                if len(a & sets[k]) * 100 >= 80 * len(a | sets[k]):
+                    root[i] = root[k] = min(root[i], root[k])
+    assert 6 < len(set(root)) < 110
+    got = bottomk.near_duplicates(docs(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)]
     roots = dict(connected(spark.createDataFrame(edges, "a long, b long")).collect())
