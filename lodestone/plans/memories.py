@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,7 +104,8 @@ class Memory(ABC):
         r = F.col(column)
         calls = replies.select(
             r["error"].isNull().alias("ok"),
-            F.current_timestamp().alias("ts"),
+            # The time of noting; a column of the current time would be that of the flush.
+            F.lit(datetime.now(timezone.utc)).alias("ts"),
             run_id.alias("run_id"),
             F.lit(phase).alias("phase"),
             F.lit(actor).alias("actor"),

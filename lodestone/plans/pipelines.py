@@ -6,6 +6,7 @@ import logging
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.config import ExperimentConfig
 from lodestone.operators.costs import CALL, untagged_calls
@@ -15,18 +16,19 @@ from lodestone.plans.memories import Memory, build_memory
 from lodestone.plugins import Models
 from lodestone.session import checkpoint
 from lodestone.sources.datasets import read_documents, read_questions
-from lodestone.sources.logs import results_path, session_path, write_lines
+from lodestone.sources.logs import last_call, results_path, session_path, write_lines
 
 logger = logging.getLogger(__name__)
 
 
 def flush_calls(memory: Memory, path: str) -> None:
-    """Append the noted model calls to a session's log, numbered in time order."""
+    """Append the noted model calls to a session's log, numbered in time order behind those it holds."""
     if not memory.calls:
         return
     noted = checkpoint(reduce(lambda a, b: a.unionByName(b), memory.calls))
     memory.calls = []
     good = running_number(noted.where(noted.event == CALL), [], ["timestamp", "run_id"], name="call_index")
+    good = good.withColumn("call_index", F.col("call_index") + F.lit(last_call(noted.sparkSession, path)))
     failed = noted.where(noted.event != CALL)
     write_lines(good.unionByName(failed, allowMissingColumns=True), path, append=True)
     if not untagged_calls(noted).isEmpty():

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CALL_LOG = (
     "event string, timestamp timestamp, call_index long, run_id string, phase string, actor string, "
@@ -30,5 +31,13 @@ def write_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "errorifexists").json(path)
 
 
+def last_call(spark: SparkSession, path: str) -> int:
+    """The largest call index of a log, 0 if there is none yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return 0
+    return read_calls(spark, path).agg(F.max("call_index")).first()[0] or 0
+
+
 def read_calls(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CALL_LOG).json(path)

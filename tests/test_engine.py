@@ -8,7 +8,7 @@ from lodestone import plugins
 from lodestone.config import ExperimentConfig, layered, list_variants, load_config
 from lodestone.plans.agent import Agent
 from lodestone.plans.memories import MEMORIES, build_memory
-from lodestone.plans.pipelines import run_ingest, run_qa
+from lodestone.plans.pipelines import flush_calls, run_ingest, run_qa
 from lodestone.sources.logs import read_calls
 
 TEXTS = [
@@ -181,6 +181,27 @@ def test_pipelines_write_results_and_a_call_log(spark, tmp_path):
     assert run_qa(spark, cfg, models, folder, str(tmp_path / "out"), log).endswith(f"{cfg.variant_name}_results.jsonl")
 
 
+def test_call_index_continues_over_ingest_update_and_answers(spark, tmp_path):
+    folder = dataset_file(tmp_path)
+    cfg = variant("vecgraph", tmp_path)
+    cfg.data_file = "d.json"
+    models = plugins.offline_models()
+    log = str(tmp_path / "calls")
+    memory = run_ingest(spark, cfg, models, folder, log)
+    taken = spark.read.json(log).count()
+    assert taken > 0
+    memory.update_fact("Vienna is a city.")
+    flush_calls(memory, log)
+    run_qa(spark, cfg, models, folder, str(tmp_path / "out"), log)
+    calls = sorted(read_calls(spark, log).collect(), key=lambda c: c.call_index)
+    assert [c.call_index for c in calls] == list(range(1, len(calls) + 1))
+    assert [c.timestamp for c in calls] == sorted(c.timestamp for c in calls)
+    assert {c.phase for c in calls[:taken]} == {"ingest"}
+    # Queries are embedded before the model reasons about their hits.
+    phases = [c.phase for c in calls if c.actor == "langgraph_node" or c.phase == "retrieval_overhead"]
+    assert phases.index("retrieval_overhead") < phases.index("agent_reasoning")
+
+
 def test_single_question_and_tool(spark, tmp_path):
     agent = Agent(build_memory(spark, variant("dummy", tmp_path), plugins.offline_models()))
     agent.update_memory("The sky is blue.")
