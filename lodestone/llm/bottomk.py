@@ -205,8 +205,8 @@ def _links(known: DataFrame, sets: DataFrame, sketch: int, num: int, den: int) -
         )
         counts = placed.groupBy("value", "root").agg(F.count("*").alias("c"))
         open_lists = counts.groupBy("value").agg(
-            F.max(F.struct("c", "root")).getField("root").alias("top"), F.count("*").alias("roots")
-        ).where("roots > 1").select("value", "top")
+            F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots")
+        ).where("roots > 1").select("value", F.col("most.root").alias("top"), F.col("most.c").alias("settled_size"))
         offers = checkpoint(
             _rest(placed.join(open_lists, "value"), known, sketch, num, den, width, inside=turn == 0)
         )
@@ -228,24 +228,35 @@ def _links(known: DataFrame, sets: DataFrame, sketch: int, num: int, den: int) -
     return links
 
 
+def _meetings(rows: DataFrame, inside: bool) -> DataFrame:
+    """Rows of lists with their block ``own`` and, once for each, the blocks ``other`` they meet.
+
+    With ``inside`` a block meets only itself.  Otherwise the settled part of a list, the largest
+    component, has blocks of its own, which meet those of the other classes but not one another.
+    """
+    def block(size: Column) -> Column:
+        return F.pmod(F.xxhash64("node", "value"), F.greatest(F.lit(1), F.ceil(size / _BLOCK))).cast("int")
+
+    if inside:
+        return rows.withColumn("own", block(F.col("size"))).withColumn("other", F.col("own"))
+    settled = F.col("settled_size")
+    apart = F.col("size") - settled
+    ours = F.ceil(apart / _BLOCK).cast("int")
+    last = ours + F.when(F.col("settled"), F.lit(0)).otherwise(F.ceil(settled / _BLOCK).cast("int")) - 1
+    own = F.when(F.col("settled"), ours + block(settled)).otherwise(block(apart))
+    return rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+
+
 def _rest(
     placed: DataFrame, known: DataFrame, sketch: int, num: int, den: int, width: int, inside: bool
 ) -> DataFrame:
-    """``(value, a, b, estimate)``: of every ``a`` its ``width`` likeliest partners per open list and block.
-
-    A list meets itself in blocks of bounded size; with ``inside`` a block meets only itself.
-    """
-    blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", "value"), F.col("blocks")).cast("int")
-    rows = (
-        placed.withColumn("blocks", blocks).withColumn("own", own)
-        .join(known.select("node", "n", "sketch", "prefix"), "node")
-        .withColumn("other", F.col("own") if inside else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
-            "own", "node", "root", "n", (F.col("root") == F.col("top")).alias("settled"),
-            (F.col("node") == F.col("leader")).alias("leads"), "sketch", "prefix",
-        )
+    """``(value, a, b, estimate)``: of every ``a`` its ``width`` likeliest partners per open list and block."""
+    rows = _meetings(
+        placed.withColumn("settled", F.col("root") == F.col("top"))
+        .join(known.select("node", "n", "sketch", "prefix"), "node"), inside
+    ).select(
+        "value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
+        "own", "node", "root", "n", "settled", (F.col("node") == F.col("leader")).alias("leads"), "sketch", "prefix",
     )
 
     def work(batches):
