@@ -218,3 +218,26 @@ def test_passages(spark):
     got = {r.doc_id: r for r in passages.repeated_passages(docs(spark, rows)).collect()}
     assert set(got) == {4, 6} and (got[4].start, got[4].end, got[4].source_id, got[4].source_start) == (0, 80, 1, 60)
     assert got[6].source_id == 1 and got[6].start == 9 and got[6].n_equal == 78
+
+
+def test_passages_around_a_gap(spark):
+    rows, want = [], []
+    for n, (size, gap) in enumerate([(60, 60), (200, 300), (400, 800), (60, 45)]):
+        first, second = prose(10 + n, size), prose(20 + n, size)
+        # The gap differs in length too for every other pair.
+        rows.append((10 * n, f"{first} {prose(30 + n, gap)} {second}", "a"))
+        rows.append((10 * n + 1, f"{first} {prose(40 + n, gap + n % 2 * 7)} {second}", "a"))
+        want += [(10 * n + 1, 0, size, 0), (10 * n + 1, size + gap + n % 2 * 7, 2 * size + gap + n % 2 * 7, size + gap)]
+    got = passages.repeated_passages(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.start, r.end, r.source_start) for r in got) == want
+    assert all(r.source_id == r.doc_id - 1 and r.identity == 1.0 for r in got)
+
+
+def test_pieces_of_a_chain():
+    # Two short runs with an insertion are one passage; a run of 0.7 holds one of 0.8.
+    both = passages._beside([True] * 68)
+    both[30:38] = (1, 0, 0)
+    assert passages.pieces(both, [0, 38], 50, 0.8) == [(0, 68)]
+    thin = passages._beside([i % 10 < 6 for i in range(100)] + [i % 10 != 9 for i in range(60)])
+    (piece,) = passages.pieces(thin, [0], 50, 0.8)
+    assert piece[0] >= 60 and piece[1] == 159
