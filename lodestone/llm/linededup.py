@@ -3,8 +3,13 @@
 The lines of a text that are not blank are hashed; a gram is the hash of ``gram`` consecutive
 lines.  Of every ``window`` consecutive grams the smallest (the rightmost of equal ones) is a
 fingerprint, so any run of ``gram + window - 1`` lines that occurs twice has a fingerprint at the
-same place of both occurrences.  Every later occurrence of a fingerprint meets its first, a linear
-number of matches; a match extends along its diagonal while lines are equal, and the later run goes.
+same place of both occurrences; with a window of 1 every gram is one.  A line of ``words`` words or
+more is a fingerprint by itself.  Every later occurrence of a fingerprint meets its first, a linear
+number of matches; a match extends along its diagonal while lines are equal, and the later run goes
+if it has ``gram`` lines or a line of ``words`` words.
+
+With a window of 1 a line goes exactly if it stands in a run of ``gram`` lines that occurs earlier,
+or has ``words`` words and occurs earlier: the first holder of a gram holds all of it.
 
 A place is earlier if its document has the smaller id (null last), or stands earlier in it.
 """
@@ -17,6 +22,8 @@ from pyspark.sql import functions as F
 from lodestone.session import checkpoint
 
 _LAST = (1 << 63) - 1
+# Words of a line that goes although its neighbours do not repeat.
+WORDS = 8
 
 
 def _id() -> Column:
@@ -58,14 +65,26 @@ def fingerprints(hashes: str, gram: int, window: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array(grams(h)), minima)))
 
 
-def repeated_runs(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
+def _long(line: Column, words: int) -> Column:
+    return F.size(F.split(F.trim(line), r"\s+")) >= words
+
+
+def repeated_runs(docs: DataFrame, gram: int = 2, window: int = 1, words: int = WORDS) -> DataFrame:
     """``(did, name, runs)``: per document with repeats, runs ``lo..hi`` of its lines that are not blank."""
     hashed = docs.where("text is not null").select(
         _id().alias("did"), _name().alias("name"),
-        F.transform(F.filter(_lines(), _filled), lambda x: F.xxhash64(F.trim(x))).alias("h"),
-    ).where(F.size("h") >= gram)
-    held = checkpoint(hashed.groupBy("did", "name").agg(F.first("h").alias("h")))
-    places = held.select("did", "name", F.explode(fingerprints("h", gram, window)).alias("f")).select(
+        F.transform(
+            F.filter(_lines(), _filled), lambda x: F.struct(F.xxhash64(F.trim(x)).alias("h"), _long(x, words).alias("long"))
+        ).alias("lines"),
+    ).where(F.size("lines") > 0).select(
+        "did", "name", F.col("lines.h").alias("h"),
+        F.filter(F.transform("lines", lambda x, i: F.when(x["long"], i)), F.isnotnull).alias("long"),
+    )
+    held = checkpoint(hashed.groupBy("did", "name").agg(F.first(F.struct("h", "long")).alias("f")).select("did", "name", "f.*"))
+    alone = F.transform(
+        "long", lambda i: F.struct(F.xxhash64(F.lit("line"), F.element_at("h", i + 1)).alias("value"), (-i).alias("back"))
+    )
+    places = held.select("did", "name", F.explode(F.concat(fingerprints("h", gram, window), alone)).alias("f")).select(
         "did", "name", F.col("f.value").alias("value"), (-F.col("f.back")).alias("at")
     )
     first = places.groupBy("value").agg(
@@ -96,7 +115,8 @@ def repeated_runs(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
     )
     runs = F.filter(
         gaps,
-        lambda r: (r["hi"] - r["lo"] >= gram - 1) & F.exists("hits", lambda p: (p >= r["lo"]) & (p <= r["hi"])),
+        lambda r: ((r["hi"] - r["lo"] >= gram - 1) | F.exists("long", lambda p: (p >= r["lo"]) & (p <= r["hi"])))
+        & F.exists("hits", lambda p: (p >= r["lo"]) & (p <= r["hi"])),
     )
     return (
         both.withColumn("barriers", barriers).select("did", "name", F.explode(runs).alias("run"))
@@ -104,14 +124,14 @@ def repeated_runs(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
     )
 
 
-def without_repeats(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
+def without_repeats(docs: DataFrame, gram: int = 2, window: int = 1, words: int = WORDS) -> DataFrame:
     """``docs`` with all columns, ``text`` without later repeated runs, and ``__lines``, ``__removed``.
 
     ``__lines`` counts the lines that are not blank, ``__removed`` those of them that went; blank
     lines inside a run go with it.  Null and empty texts stay as they are, with 0 lines.  Rows
     equal in id and text are one document and share their result.  A null id comes after all others.
     """
-    runs = repeated_runs(docs, gram, window).select(
+    runs = repeated_runs(docs, gram, window, words).select(
         F.col("did").alias("__did"), F.col("name").alias("__name"), F.col("runs").alias("__runs")
     )
     joined = docs.join(runs, (_id() == F.col("__did")) & (_name() == F.col("__name")), "left")

@@ -241,3 +241,34 @@ def test_pieces_of_a_chain():
     thin = passages._beside([i % 10 < 6 for i in range(100)] + [i % 10 != 9 for i in range(60)])
     (piece,) = passages.pieces(thin, [0], 50, 0.8)
     assert piece[0] >= 60 and piece[1] == 159
+
+
+def test_lone_lines_and_pairs(spark):
+    long, word = prose(50, 50), "twenty"
+    rows = [
+        (1, long, "a"), (2, f"own start\n{long}\nown end", "a"), (3, long, "a"),
+        # Every pair of repeated lines goes, wherever its lines alone stand first.
+        (4, "p one\nelse", "a"), (5, "q two\nmore", "a"), (6, "x\np one\nq two\ny", "a"), (7, "v\np one\nq two\nw", "a"),
+        (8, word, "a"), (9, word, "a"),
+    ]
+    got = {r.doc_id: (r.text, r.asDict()["__removed"]) for r in linededup.without_repeats(docs(spark, rows)).collect()}
+    want = {i: (t, 0) for i, t, _ in rows} | {2: ("own start\nown end", 1), 3: ("", 1), 7: ("v\nw", 2)}
+    assert got == want
+
+
+def test_repeated_lines_equal_brute_force(spark):
+    r = random.Random(6)
+    pool = [prose(100 + i, r.choice([1, 2, 12])) for i in range(14)]
+    rows = [(i, "\n".join(r.choice(pool) if r.random() < 0.5 else prose(1000 + 20 * i + j, 3) for j in range(r.randrange(1, 9))), "a") for i in range(60)]
+    seen, want = set(), {}
+    for i, text, _ in rows:
+        lines = text.split("\n")
+        gone = set()
+        for at, line in enumerate(lines):
+            for gram in ([(line,)] if len(line.split()) >= linededup.WORDS else []) + [tuple(lines[at : at + 2])] * (at + 1 < len(lines)):
+                if gram in seen:
+                    gone.update(range(at, at + len(gram)))
+                seen.add(gram)
+        want[i] = "\n".join(x for at, x in enumerate(lines) if at not in gone)
+    got = {r.doc_id: r.text for r in linededup.without_repeats(docs(spark, rows)).collect()}
+    assert got == want and got != {i: t for i, t, _ in rows}
