@@ -4,7 +4,9 @@
   toxic far more often than others, over a bounded sample of labelled rows.  A term must occur in
   several different contexts, so the plain words of one copied toxic text do not count.
 * **Misspellings.** The automaton of a text's word, accepting all strings within one edit (two for
-  long words), runs down the trie of the lexicon; both fail early together.
+  long words), runs down the trie of all words and stems of five letters or more; both fail early
+  together.  A stem is accepted with any rest.  Terms whose misspellings are mostly other words of
+  clean texts keep a share of their weight, by the sample.
 * **Context.** A hit counts less inside quotation marks and more beside other hits.
 * **Score.** A logistic model over a text's hits, fitted on the same sample.
 
@@ -76,28 +78,33 @@ class Lexicon:
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    # What a misspelling keeps of the weight of its term; all of it where nothing is known.
+    shares: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.trie: dict = {}
-        # By length of a text's word: where a piece of a term may stand in it.
+        # By length of a text's word: where a piece of a word may stand in it.  Of stems, at any length.
         self.pieces: dict[int, dict[tuple[int, int], set[str]]] = {}
+        self.stem_pieces: dict[tuple[int, int], set[str]] = {}
         self.stem_lengths = sorted({len(s) for s in self.stems})
-        # Misspellings are looked for of well-attested terms only.
-        sure = 0.85 * max([*self.words.values(), *self.stems.values()], default=0.0)
-        for word in self.words:
-            edits = allowed_edits(word)
-            if not edits or self.words[word] < sure:
+        for term, stem in [*((w, False) for w in self.words), *((s, True) for s in self.stems)]:
+            edits = allowed_edits(term)
+            if not edits or self.shares.get(term) == 0.0:
                 continue
             node = self.trie
-            for letter in word:
+            for letter in term:
                 node = node.setdefault(letter, {})
-            node[""] = word
+            # Keys of no letter end a word and a stem.
+            node["stem" if stem else ""] = term
             # Of edits + 1 pieces of a term one survives any ``edits`` edits, moved by as many places at most.
-            cut = [round(i * len(word) / (edits + 1)) for i in range(edits + 2)]
+            cut = [round(i * len(term) / (edits + 1)) for i in range(edits + 2)]
+            tables = [self.stem_pieces] if stem else [
+                self.pieces.setdefault(n, {}) for n in range(len(term) - edits, len(term) + edits + 1)
+            ]
             for a, b in zip(cut, cut[1:], strict=False):
-                for n in range(len(word) - edits, len(word) + edits + 1):
+                for table in tables:
                     for at in range(max(0, a - edits), a + edits + 1):
-                        self.pieces.setdefault(n, {}).setdefault((at, at + b - a), set()).add(word[a:b])
+                        table.setdefault((at, at + b - a), set()).add(term[a:b])
 
     def match(self, word: str) -> tuple[float, bool] | None:
         """Weight of the term a word stands for, and whether it is misspelled."""
@@ -107,12 +114,16 @@ class Lexicon:
             if word[:length] in self.stems:
                 return self.stems[word[:length]], False
         term = self.nearest(word)
-        return (self.words[term], True) if term else None
+        weight = self.weight(term) * self.shares.get(term, 1.0) if term else 0.0
+        return (weight, True) if weight > 0 else None
+
+    def weight(self, term: str) -> float:
+        return self.words[term] if term in self.words else self.stems[term]
 
     def nearest(self, word: str) -> str | None:
-        """The lexicon word nearest to ``word`` within the edits its length allows."""
-        places = self.pieces.get(len(word))
-        if not places or not any(word[a:b] in known for (a, b), known in places.items()):
+        """The term nearest to ``word`` within the edits its length allows; a stem, to a beginning of ``word``."""
+        tables = (self.pieces.get(len(word), {}), self.stem_pieces)
+        if not any(word[a:b] in known for places in tables for (a, b), known in places.items()):
             return None
         automaton = LevenshteinAutomaton(word, 2)
         found: list[tuple[int, float, str]] = []
@@ -120,10 +131,11 @@ class Lexicon:
         while stack:
             node, state = stack.pop()
             for letter, below in node.items():
-                if letter == "":
-                    distance = automaton.distance(state)
+                if len(letter) != 1:
+                    # After a stem any rest may follow.
+                    distance = min(e for _, e in state) if letter else automaton.distance(state)
                     if distance is not None and distance <= allowed_edits(below):
-                        found.append((distance, -self.words[below], below))
+                        found.append((distance, -self.weight(below), below))
                     continue
                 following = automaton.step(state, letter)
                 if following:
@@ -231,6 +243,37 @@ def learn_lexicon(sample: DataFrame, least: int = 4, log_odds: float = 3.0, term
     )
 
 
+def with_shares(lexicon: Lexicon, sample: DataFrame) -> Lexicon:
+    """``lexicon`` with shares by how much more often texts without exact hits that misspell a term are toxic."""
+    totals = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matches = _Matches(lexicon)
+        nearest: dict[bytes, str | None] = {}
+        counts: Counter = Counter()
+        for batch in batches:
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hits = {w: m[1] for w in set(_words(text)) if (m := matches[w])}
+                if not all(hits.values()):
+                    continue
+                for w in hits.keys() - nearest.keys():
+                    nearest[w] = lexicon.nearest(w.decode("utf-8", "replace"))
+                counts.update((term, toxic) for term in {nearest[w] for w in hits})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())],
+            ["term", "toxic", "n"],
+        )
+
+    seen = sample.select("text", "toxic").mapInArrow(work, "term string, toxic long, n long").groupBy("term", "toxic").agg(F.sum("n").alias("n"))
+    found = {(r["term"], r["toxic"]): r["n"] for r in seen.collect()}  # two rows a term at most
+    shares = {}
+    for term in [*lexicon.words, *lexicon.stems]:
+        bad, good = ((found.get((term, y), 0) + 0.5) / (totals.get(y, 0) + 1.0) for y in (1, 0))
+        if (term, 0) in found or (term, 1) in found:
+            shares[term] = max(0.0, (bad - good) / (bad + good))
+    return Lexicon(lexicon.words, lexicon.stems, shares)
+
+
 class _Matches(dict):
     """Answers of a lexicon, remembered up to a bound."""
 
@@ -257,8 +300,14 @@ def features(text: str | None, matches: _Matches) -> list[float]:
     places = [m.span() for m in _RAW_WORD.finditer(text)]
     quoted = [_quoted(text, places[i]) if i < len(places) else False for i, _ in hits]
     exact = fuzzy = total = 0.0
+    first = past = 0
     for (i, (weight, misspelled)), inside in zip(hits, quoted, strict=True):
-        near = sum(1 for j, _ in hits if j != i and abs(j - i) <= _CONTEXT) if len(hits) < 200 else 1
+        # Hits ``first .. past`` stand in context, this one among them.
+        while hits[first][0] < i - _CONTEXT:
+            first += 1
+        while past < len(hits) and hits[past][0] <= i + _CONTEXT:
+            past += 1
+        near = past - first - 1
         score = weight / 10 * (0.5 if inside else 1.0) * (1 + 0.1 * min(near, 5))
         total += score
         if misspelled:
@@ -341,7 +390,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
         docs.select("doc_id", "text").where("text is not null")
         .join(drawn, F.col("doc_id") == F.col("__labelled")).groupBy("text").agg(F.max("__toxic").alias("toxic"))
     )
-    lexicon = learn_lexicon(sample)
+    lexicon = with_shares(learn_lexicon(sample), sample)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matches = _Matches(lexicon)

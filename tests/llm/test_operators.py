@@ -272,3 +272,23 @@ def test_repeated_lines_equal_brute_force(spark):
         want[i] = "\n".join(x for at, x in enumerate(lines) if at not in gone)
     got = {r.doc_id: r.text for r in linededup.without_repeats(docs(spark, rows)).collect()}
     assert got == want and got != {i: t for i, t, _ in rows}
+
+
+def test_misspelled_weak_terms_and_stems():
+    lexicon = toxicity.Lexicon({"worthless": 8.0, "numbskull": 4.0}, {"pathet": 5.0})
+    assert lexicon.match("numbskul") == (4.0, True) and lexicon.match("pathetically") == (5.0, False)
+    assert lexicon.match("pahetically") == (5.0, True) and lexicon.match("pxthetic") == (5.0, True)
+    assert lexicon.match("sympathetic") is None and lexicon.match("path") is None
+
+
+def test_hits_count_their_neighbours_in_long_texts():
+    matches = toxicity._Matches(toxicity.Lexicon({"idiot": 8.0}, {}))
+    few, many = (toxicity.features("idiot " * n, matches) for n in (150, 400))
+    assert few[0] == many[0] == pytest.approx(0.8 * 1.5)
+
+
+def test_misspellings_keep_a_share_of_their_term(spark):
+    rows = [(f"{prose(i, 20)} worthles thing", 1) for i in range(20)] + [(f"{prose(100 + i, 20)} idiom thing", 0) for i in range(80)]
+    lexicon = toxicity.Lexicon({"worthless": 8.0, "idiot": 8.0})
+    lexicon = toxicity.with_shares(lexicon, spark.createDataFrame(rows, "text string, toxic int"))
+    assert lexicon.match("worthles")[0] > 7.5 and lexicon.match("idiom") is None and lexicon.match("idiot") == (8.0, False)
