@@ -38,21 +38,33 @@ NOTICES = {
     "all rights reserved": ("all-rights-reserved", 0.5),
 }
 _TAG = " spdx license identifier "
-_EXPRESSION = re.compile(r"(?i)spdx[-\s]license[-\s]identifier\s*:?\s*([^\r\n\"'<>*]{1,400})")
+_MARK = re.compile(r"(?i)spdx[-\s]license[-\s]identifier\s*:?\s*")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
+# What may stand between tokens of one line, and a line break with the comment mark of the next line.
+_BETWEEN = re.compile(r"[^A-Za-z0-9.+:()\r\n\"'<>*-]*")
+_BREAK = re.compile(r"[\r\n]\s*(?:[*#;%]+|//+|--+)?(?![*#;%])")
 # Tighter operators first.
 _BINDING = {"with": 3, "and": 2, "or": 1}
 
 
-def postfix(expression: str) -> list[str]:
-    """Licence ids and operators in postfix order, by the shunting-yard algorithm.
+def parse(text: str, at: int = 0) -> tuple[list[str], int]:
+    """Licence ids and operators in postfix order, by the shunting-yard algorithm, and where they end.
 
-    Reading stops where no expression continues; an operator without its operand is left out.
+    Reading starts at ``at`` and stops where no expression continues; line breaks are passed inside
+    brackets only.  An operator without its operand is left out.
     """
     out: list[str] = []
     stack: list[str] = []
     operand = True  # whether one is due
-    for match in _TOKEN.finditer(expression):
+    depth = 0
+    end = at
+    while True:
+        at = _BETWEEN.match(text, at).end()
+        while depth and (wrapped := _BREAK.match(text, at)):
+            at = _BETWEEN.match(text, wrapped.end()).end()
+        match = _TOKEN.match(text, at)
+        if not match:
+            break
         token = match[0]
         word = token.lower()
         if word in _BINDING:
@@ -66,24 +78,72 @@ def postfix(expression: str) -> list[str]:
             if not operand:
                 break
             stack.append(token)
+            depth += 1
         elif token == ")":
-            if operand or "(" not in stack:
+            if operand or not depth:
                 break
             while stack[-1] != "(":
                 out.append(stack.pop())
             stack.pop()
+            depth -= 1
         else:
-            if not operand:
+            if not operand or word.rstrip(":") == "spdx-license-identifier":
                 break
             out.append(word.rstrip(".:-"))
             operand = False
+        at = end = match.end()
     rest = [t for t in reversed(stack) if t != "("]
     # The operator that waited for an operand is the last one put on the stack.
-    return out + (rest[1:] if operand and rest else rest)
+    return out + (rest[1:] if operand and rest else rest), end
+
+
+def postfix(expression: str) -> list[str]:
+    """Licence ids and operators of an expression in postfix order."""
+    return parse(expression)[0]
+
+
+def evaluate(tokens: list[str]) -> tuple[str, set[str]]:
+    """An expression in postfix order written with the fewest brackets, and its labels.
+
+    A licence and its exception are one label.  Alternatives are not expanded, so an expression
+    takes as much time and room as it is long.
+    """
+    values: list[tuple] = []  # trees (an id or an operator with two trees) and their labels
+    for token in tokens:
+        if token not in _BINDING:
+            values.append((token, {token} if token else set()))
+            continue
+        (right, more), (left, labels) = values.pop(), values.pop()
+        if not labels or not more:
+            values.append((left, labels) if labels else (right, more))
+            continue
+        if token == "with" and isinstance(right, str) and not any(" " in x for x in labels):
+            labels = {f"{x} with {right}" for x in labels}
+        else:
+            labels, more = (labels, more) if len(labels) > len(more) else (more, labels)
+            labels |= more
+        values.append(((token, left, right), labels))
+    if not values or not values[-1][1]:
+        return "", set()
+    tree, labels = values[-1]
+    parts: list[str] = []
+    todo: list[tuple] = [(tree, 0)]
+    while todo:
+        node, binding = todo.pop()
+        if isinstance(node, str):
+            parts.append(node)
+        else:
+            own = _BINDING[node[0]]
+            inner = [(node[1], own), (f" {node[0]} ", 0), (node[2], own)]
+            todo += ([("(", 0), *inner, (")", 0)] if own < binding else inner)[::-1]
+    return "".join(parts), labels
 
 
 def choices(expression: str) -> list[frozenset[str]]:
-    """The alternatives an expression allows, each the set of licences that hold together."""
+    """The alternatives an expression allows, each the set of licences that hold together.
+
+    Their number may grow with a power of the length; scans use ``evaluate``.
+    """
     values: list[list[frozenset[str]]] = []
     for token in postfix(expression):
         if token not in _BINDING:
@@ -148,12 +208,16 @@ def read(text: bytes | None, automaton: ahocorasick.Automaton) -> tuple:
         last = counted
     expressions: list[str] = []
     if tagged:
-        for match in _EXPRESSION.finditer(text.decode("utf-8", "replace")):
-            allowed = choices(match[1])
-            if allowed:
+        read_on = text.decode("utf-8", "replace")
+        mark = _MARK.search(read_on)
+        while mark:
+            tokens, end = parse(read_on, mark.end())
+            expression, found = evaluate(tokens)
+            if found:
                 score = 1.0
-                expressions.append(" or ".join(" and ".join(sorted(s)) for s in allowed))
-                labels.update(x for s in allowed for x in s)
+                expressions.append(expression)
+                labels |= found
+            mark = _MARK.search(read_on, end)
     return (
         len(words), n_base, first, last, ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, expressions,
     )

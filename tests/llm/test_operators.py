@@ -292,3 +292,17 @@ def test_misspellings_keep_a_share_of_their_term(spark):
     lexicon = toxicity.Lexicon({"worthless": 8.0, "idiot": 8.0})
     lexicon = toxicity.with_shares(lexicon, spark.createDataFrame(rows, "text string, toxic int"))
     assert lexicon.match("worthles")[0] > 7.5 and lexicon.match("idiom") is None and lexicon.match("idiot") == (8.0, False)
+
+
+def test_long_and_wrapped_licence_expressions():
+    automaton = licences._automaton()
+    ids = [f"lic-{i}" for i in range(200)]
+    text = f"SPDX-License-Identifier: {' OR '.join(ids)}\nmore"
+    assert set(licences.read(text.encode(), automaton)[5].split(",")) == set(ids)
+    text = "// SPDX-License-Identifier: (MIT OR\n//   Apache-2.0) AND\n// BSD-3-Clause"
+    assert licences.read(text.encode(), automaton)[5:] == ("apache-2.0,mit", 1.0, ["mit or apache-2.0"])
+    text = "SPDX-License-Identifier: " + " AND ".join(f"(a{i} OR b{i})" for i in range(60))
+    labels, _, (expression,) = licences.read(text.encode(), automaton)[5:]
+    assert len(labels.split(",")) == 120 and expression.startswith("(a0 or b0) and (a1 or b1) and ")
+    text = "SPDX-License-Identifier: (GPL-2.0-only OR MIT) WITH Classpath-exception-2.0"
+    assert licences.read(text.encode(), automaton)[5] == "gpl-2.0-only with classpath-exception-2.0,mit with classpath-exception-2.0"
