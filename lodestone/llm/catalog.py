@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import (
-    bottomk, decontam, licences, linededup, mixing, passages, sanitise, topk, toxicity, warc,
+    balltree, bottomk, decontam, licences, linededup, mixing, passages, sanitise, topk, toxicity, warc,
 )
 from lodestone.llm.common import table
 from lodestone.session import checkpoint
@@ -69,6 +69,11 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every benchmark item by integer lexical scores."""
+    return balltree.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_topk": op2_topk,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_passages": op10_passages,
+    "op11_ranked_search": op11_ranked_search,
 }
 
 SQL: dict[str, str] = {
@@ -132,4 +138,30 @@ SQL: dict[str, str] = {
             coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op11_ranked_search": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+            FROM documents),
+        q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS t
+            FROM benchmark WHERE item_id IS NOT NULL),
+        totals AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+        tf AS (
+            SELECT r, doc_id, n, t, count(*)::BIGINT AS tf
+            FROM (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM d WHERE len(w) > 0)
+            WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+        weights AS (
+            SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+            FROM (SELECT t, count(*)::BIGINT AS df FROM tf GROUP BY t), totals),
+        scores AS (
+            SELECT item_id, r, doc_id,
+                sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_docs) // n_terms)))))::BIGINT AS score
+            FROM q JOIN tf USING (t) JOIN weights USING (t), totals WHERE doc_id IS NOT NULL GROUP BY item_id, r, doc_id),
+        best AS (
+            SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+            FROM scores WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM best WHERE rank <= 50
+    """,
 }
