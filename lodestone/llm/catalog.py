@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import (
-    balltree, bottomk, decontam, licences, linededup, mixing, passages, sanitise, topk, toxicity, warc,
+    alignment, balltree, bottomk, decontam, licences, linededup, mixing, passages, sanitise, topk, toxicity, warc,
 )
 from lodestone.llm.common import table
 from lodestone.session import checkpoint
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Vocabulary files of public tokenizers, installed on every worker.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents by a model of the rows that are not held out."""
@@ -74,6 +77,13 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of a byte-level and a piece tokenizer in all documents."""
+    return alignment.aligned_documents(
+        table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_topk": op2_topk,
@@ -86,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op9_decontamination": op9_decontamination,
     "op10_passages": op10_passages,
     "op11_ranked_search": op11_ranked_search,
+    "op13_alignment": op13_alignment,
 }
 
 SQL: dict[str, str] = {
