@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import (
-    alignment, balltree, bottomk, decontam, licences, linededup, mixing, passages, sanitise, topk, toxicity, warc,
+    alignment, balltree, bottomk, decontam, licences, linededup, mixing, passages, quality, sanitise, topk, toxicity, warc,
 )
 from lodestone.llm.common import table
 from lodestone.session import checkpoint
@@ -77,6 +77,12 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by a model of the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of the tokens of a byte-level and a piece tokenizer in all documents."""
     return alignment.aligned_documents(
@@ -96,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op9_decontamination": op9_decontamination,
     "op10_passages": op10_passages,
     "op11_ranked_search": op11_ranked_search,
+    "op12_quality": op12_quality,
     "op13_alignment": op13_alignment,
 }
 
