@@ -21,6 +21,7 @@ over the whole corpus by map-side aggregation, and judged per document in a seco
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -64,6 +65,34 @@ def piece_bytes(piece: str) -> bytes:
     return piece.replace("▁", " ").encode()
 
 
+# How byte-level BPE of this family cuts a text before merging; fixed values.
+_BEFORE_MERGES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _by_rank(path: str):
+    """An encoder that merges by id, several times as fast; None where the file's merges do not go by id."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    model, before = held["model"], held["pre_tokenizer"]
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    vocabulary = model["vocab"]
+    ranks = [vocabulary.get(m) for m in merged]
+    plain = before == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    if not plain or held["normalizer"] is not None or None in ranks or any(x >= y for x, y in zip(ranks, ranks[1:], strict=False)):
+        return None
+    special = {t["content"] for t in held["added_tokens"]}
+    by_rank = {byte_level(t): i for t, i in vocabulary.items() if t not in special}
+    if len(by_rank) != 256 + len(merged) or any(bytes([i]) not in by_rank or by_rank[bytes([i])] > ranks[0] for i in range(256)):
+        return None
+    return tiktoken.Encoding("by_rank", pat_str=_BEFORE_MERGES, mergeable_ranks=by_rank, special_tokens={})
+
+
+def _table(entries: list[str]) -> np.ndarray:
+    return np.array([e.encode() for e in entries])
+
+
 @dataclass
 class Tokenizers:
     """Two tokenizers of a worker; ``bytes_a`` and ``bytes_b`` are the bytes of each id."""
@@ -72,13 +101,16 @@ class Tokenizers:
     b: object
     bytes_a: list[bytes]
     bytes_b: list[bytes]
+    ranked: object = None
 
     def __post_init__(self) -> None:
         self.size_a = np.array([len(x) for x in self.bytes_a])
         self.size_b = np.array([len(x) for x in self.bytes_b])
-        # Ids followed by each separator, for the digest of groups.
-        self.said_a = [f"{i}{s}" for i in range(len(self.bytes_a)) for s in ",|"]
-        self.said_b = [f"{i}{s}" for i in range(len(self.bytes_b)) for s in ",;"]
+        # Ids followed by each separator, for the digest of groups: those of side a, then those of b.
+        said = [f"{i}{s}" for i in range(len(self.bytes_a)) for s in ",|"]
+        said += [f"{i}{s}" for i in range(len(self.bytes_b)) for s in ",;"]
+        self.said, self.said_size = _table(said), np.array([len(x) for x in said])
+        self.said_b = 2 * len(self.bytes_a)
 
     @classmethod
     def load(cls, path_a: str, path_b: str) -> Tokenizers:
@@ -95,16 +127,24 @@ class Tokenizers:
         entries = [a.id_to_token(i) for i in range(a.get_vocab_size())]
         of_a = [t.encode() if i in special else byte_level(t) for i, t in enumerate(entries)]
         of_b = [piece_bytes(b.id_to_piece(i)) for i in range(b.get_piece_size())]
-        return cls(a, b, of_a, of_b)
+        return cls(a, b, of_a, of_b, _by_rank(path_a))
+
+    def encode_a(self, text: str) -> list[int]:
+        """Letters are told from other characters alike by both encoders up to U+00FF; beyond, tables may differ in age."""
+        if self.ranked is not None and (text.isascii() or len(text.encode("latin-1", "ignore")) == len(text)):
+            return self.ranked.encode_ordinary(text)
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of both sides per text; None where the bytes of a side are not those of space and text."""
-        side_a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        side_b = self.b.encode(texts, num_threads=1)
         out: list[tuple[np.ndarray, np.ndarray] | None] = []
-        for text, encoded, b in zip(texts, side_a, side_b, strict=True):
-            a, raw = encoded.ids, b" " + text.encode()
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
+        for text, b in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
+            raw = b" " + text.encode()
+            if b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+                out.append(None)
+                continue
+            a = self.encode_a(" " + text)
+            same = b"".join(map(self.bytes_a.__getitem__, a)) == raw
             out.append((np.array(a, np.int64), np.array(b, np.int64)) if same else None)
         return out
 
@@ -146,12 +186,17 @@ class Groups:
     n_a: int
     n_b: int
     n_groups: int
-    said: str
+    said: bytes
     a: np.ndarray
     b: np.ndarray
     links: np.ndarray
 
 
+def _last(groups: np.ndarray) -> np.ndarray:
+    """Whether a token is the last of its group."""
+    return np.append(groups[1:] != groups[:-1], True)[: len(groups)]
+
+
 def aligned(parts: list[Tokens], tok: Tokenizers) -> list[Groups]:
     """Each of ``parts`` covers whole groups; all are aligned in one pass over their bytes end to end."""
     count = len(parts)
@@ -159,33 +204,40 @@ def aligned(parts: list[Tokens], tok: Tokenizers) -> list[Groups]:
     a = np.concatenate([p[0] for p in parts]) if parts else _NONE
     b = np.concatenate([p[1] for p in parts]) if parts else _NONE
     end_a, end_b = np.cumsum(tok.size_a[a]), np.cumsum(tok.size_b[b])
-    common = np.intersect1d(end_a, end_b, assume_unique=True)
-    group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
-    in_a, in_b = (np.bincount(g, minlength=len(common)) for g in (group_a, group_b))
+    # Whether a token of a side ends at an offset; running sums number tokens and groups.
+    size = int(end_a[-1]) + 1 if len(a) else 1
+    is_a, is_b = np.zeros(size, bool), np.zeros(size, bool)
+    is_a[end_a] = True
+    is_b[end_b] = True
+    both = is_a & is_b
+    closed = np.cumsum(both, dtype=np.int32)
+    group_a, group_b = closed[end_a] - both[end_a], closed[end_b] - both[end_b]
+    count_a, count_b = np.cumsum(is_a, dtype=np.int32), np.cumsum(is_b, dtype=np.int32)
     # A group reads as its tokens of one side, then those of the other.
+    cuts = np.flatnonzero(both)
+    before = np.concatenate([[0], count_b[cuts]])
+    through = count_a[cuts]
     codes = np.empty(len(a) + len(b), np.int64)
-    at_a = np.arange(len(a)) + (np.cumsum(in_b) - in_b)[group_a]
-    at_b = np.arange(len(b)) + np.cumsum(in_a)[group_b]
-    last_a = np.append(group_a[1:] != group_a[:-1], True)[: len(a)]
-    last_b = np.append(group_b[1:] != group_b[:-1], True)[: len(b)]
-    codes[at_a] = 2 * a + last_a
-    codes[at_b] = -1 - (2 * b + last_b)
-    said = [tok.said_a[c] if c >= 0 else tok.said_b[-1 - c] for c in codes.tolist()]
+    codes[np.arange(len(a)) + before[group_a]] = 2 * a + _last(group_a)
+    codes[np.arange(len(b)) + through[group_b]] = tok.said_b + 2 * b + _last(group_b)
+    said = tok.said[codes].tobytes().replace(b"\0", b"")
+    said_at = np.concatenate([[0], np.cumsum(tok.said_size[codes])])
     # Between two neighbouring ends of either side lies the overlap of one token of each.
-    ends = np.union1d(end_a, end_b)
-    link_a, link_b = a[np.searchsorted(end_a, ends)], b[np.searchsorted(end_b, ends)]
+    ends = np.flatnonzero(is_a | is_b)
+    link_a, link_b = a[count_a[ends] - is_a[ends]], b[count_b[ends] - is_b[ends]]
     stop_a, stop_b = np.cumsum(sizes_a, dtype=np.int64), np.cumsum(sizes_b, dtype=np.int64)
     finish = end_a[stop_a - 1] if count else _NONE
     part = np.searchsorted(finish, ends)
-    key = (part << 40) | (link_a << 20) | link_b
-    key, links = np.unique(key, return_counts=True)
+    key = np.sort((part << 40) | (link_a << 20) | link_b)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    key, links = key[first], np.diff(np.append(first, len(key)))
     borders = np.searchsorted(key >> 40, np.arange(count + 1))
-    groups_at = np.searchsorted(common, finish) + 1 if count else _NONE
+    groups_at = closed[finish] if count else _NONE
     out = []
     for i in range(count):
         lo, hi = borders[i], borders[i + 1]
-        begin = 0 if i == 0 else int(stop_a[i - 1] + stop_b[i - 1])
-        text = "".join(said[begin : int(stop_a[i] + stop_b[i])])[:-1]
+        begin = said_at[stop_a[i - 1] + stop_b[i - 1]] if i else 0
+        text = said[begin : said_at[stop_a[i] + stop_b[i]] - 1]
         n_groups = int(groups_at[i] - (groups_at[i - 1] if i else 0))
         out.append(Groups(
             sizes_a[i], sizes_b[i], n_groups, text, (key[lo:hi] >> 20) & 0xFFFFF, key[lo:hi] & 0xFFFFF, links[lo:hi]
@@ -227,7 +279,7 @@ _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 
 
 def _closed(g: Groups, digest: bool) -> list:
-    said = hashlib.sha256(g.said.encode()).hexdigest() if digest else g.said
+    said = hashlib.sha256(g.said).hexdigest() if digest else g.said.decode()
     return [g.n_a, g.n_b, g.n_groups, int(g.links.sum()), said, g.a, g.b, g.links]
 
 
