@@ -36,6 +36,8 @@ PART_PAIRS = 1_000_000
 # A tree holds so many documents and, unless a single document has more, so many values.
 TREE_ROWS, TREE_VALUES = 8192, 2_000_000
 LEAF_ROWS = 64
+# A side of a split has at least one in so many rows, so a tree is never deep.
+_LEAST_SHARE = 32
 
 
 def query_terms(items: DataFrame) -> DataFrame:
@@ -152,7 +154,8 @@ def _picked(starts: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def build_tree(starts: np.ndarray, columns: np.ndarray, values: np.ndarray, width: int, leaf: int = LEAF_ROWS) -> tuple[np.ndarray, Tree]:
     """The order of rows and the tree over them; ``values`` are scaled and not negative.
 
-    A node is split at the median of its rows' projections onto the line between two far rows.
+    The rows of a node go to the nearer one of two far rows, which keeps groups of like rows whole;
+    where that leaves one side with very little, they are split in half along the same line.
     """
     count = len(starts) - 1
     norms = np.bincount(_row_of(starts), values * values, minlength=count)
@@ -204,9 +207,12 @@ def build_tree(starts: np.ndarray, columns: np.ndarray, values: np.ndarray, widt
         to_a = norms[rows] - 2 * products(*one(rows[a]), rows_of, cols, vals, n)
         b = int(np.argmax(to_a))
         to_b = norms[rows] - 2 * products(*one(rows[b]), rows_of, cols, vals, n)
-        half = n // 2
-        order[begin:end] = rows[np.argpartition(to_a - to_b, half)]
-        stack += [(begin, begin + half, me, 0), (begin + half, end, me, 1)]
+        nearer = (to_a + norms[rows[a]]) - (to_b + norms[rows[b]])
+        cut = int((nearer < 0).sum())
+        if min(cut, n - cut) * _LEAST_SHARE < n:
+            cut = n // 2
+        order[begin:end] = rows[np.argpartition(nearer, cut)]
+        stack += [(begin, begin + cut, me, 0), (begin + cut, end, me, 1)]
     at = np.concatenate(terms) if terms else np.zeros(0, np.int64)
     by_term = np.argsort(at, kind="stable")
     term_at = np.zeros(width + 1, np.int64)
