@@ -15,6 +15,7 @@ Texts are scored by one column expression, so scoring needs no shuffle.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrays, lists, utf8
+from lodestone.llm.common import arrays, lists, maybe_in, per_batch, utf8
 from lodestone.llm.toxicity import held_out
 from lodestone.session import checkpoint
 
@@ -174,22 +175,30 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """``(x, y, fold)``: statistics of labelled texts, each distinct text once."""
     usable = (
         labels.where("doc_id is not null and quality in (0, 1)").where(~held_out("doc_id"))
-        .groupBy(F.col("doc_id").alias("__labelled")).agg(F.max("quality").cast("int").alias("__quality"))
+        .groupBy(F.col("doc_id").cast("long").alias("__labelled")).agg(F.max("quality").cast("int").alias("__quality"))
     )
     share = min(1.0, rows / max(1, usable.count()))
     drawn = usable.where(F.pmod(F.xxhash64("__labelled"), F.lit(1_000_000)) < int(share * 1_000_000))
-    texts = (
-        docs.select("doc_id", F.coalesce(utf8("text"), F.lit(b"")).alias("text")).join(drawn, F.col("doc_id") == F.col("__labelled"))
-        .groupBy("text").agg(F.max("__quality").alias("y"))
+    # Texts stay where they are: only statistics and a digest travel.
+    labelled = maybe_in(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(utf8("text"), F.lit(b"")).alias("text")),
+        F.col("doc_id"), drawn, F.col("__labelled"),
     )
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [np.array(statistics(t)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([lists(x, pa.float64()), batch.column(1), batch.column(2)], ["x", "y", "fold"])
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(1).to_pylist()
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column(0), lists([np.array(statistics(t)) for t in texts], pa.float64()),
+                pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()),
+            ],
+            ["doc_id", "x", "digest"],
+        )
 
-    fold = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(FOLDS)).cast("int")
-    return checkpoint(texts.select("text", "y", fold.alias("fold")).mapInArrow(work, "x array<double>, y int, fold int"))
+    rows = per_batch(labelled, work, "doc_id long, x array<double>, digest binary")
+    known = rows.join(drawn, F.col("doc_id") == F.col("__labelled")).groupBy("digest")
+    fold = F.pmod(F.xxhash64("digest"), F.lit(FOLDS)).cast("int")
+    return checkpoint(known.agg(F.max("x").alias("x"), F.max("__quality").alias("y")).select("x", "y", fold.alias("fold")))
 
 
 def _moments(sample: DataFrame, kinds: list[Features]) -> dict[tuple[int, int], np.ndarray]:
