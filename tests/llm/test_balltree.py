@@ -99,7 +99,7 @@ def test_unlike_documents_are_not_scored():
     # Rows of eight groups with terms of their own.
     parts = [np.sort(8 * (i % 8) + r.choice(8, 4, replace=False)) for i in ids]
     starts = np.arange(2001) * 4
-    columns, values = np.concatenate(parts), r.randint(1, 1000, 8000)
+    columns, values = np.concatenate(parts), r.randint(500, 1000, 8000)
     queries = balltree.Queries(np.array([1]), [np.arange(8)], np.full(width, 100), np.ones(width))
     search = balltree.Search(queries, 5)
     search.add(ids, starts, columns, values)
