@@ -9,6 +9,7 @@ becomes an entity itself.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -16,12 +17,13 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import choice_index, norm_name
 from lodestone.operators.blocks import best_of, near_pairs
+from lodestone.operators.partners import USED_UP, WIDTH, partner_lists
 from lodestone.operators.ranking import top_k
 from lodestone.operators.simjoin import block_join, place
-from lodestone.session import checkpoint
+from lodestone.session import checkpoint, checkpoint_counting
 
-_PAIRS = "id long, cand long, sim double, cand_open boolean"
-_OPEN, _ENTITY, _MERGED = 0, 1, 2
+_PAIRS = "id long, cand long, sim double"
+_OPEN, _ENTITY = 0, 1
 
 # (candidate name, names of the candidates in rank order) -> reply
 Selector = Callable[[Column, Column], Column]
@@ -53,13 +55,13 @@ def resolve_names(names: DataFrame, entities: DataFrame, aliases: DataFrame) ->
     return joined.withColumn("entity_key", key).drop("__norm", "__known", "__alias", "__owner")
 
 
-def _nearest(k: int, gate: float, earlier_only: bool):
+def _nearest(k: int, gate: float):
     def kernel(t_ids, v_ids, marks, slices):
-        out_id, out_cand, out_sim, out_open = [], [], [], []
+        out_id, out_cand, out_sim = [], [], []
         for start, sims in slices:
             rows, cols, values = near_pairs(sims, gate)
             me, them = t_ids[start + rows], v_ids[cols]
-            fits = (values >= gate) & ((them < me) if earlier_only else (them != me))
+            fits = (values >= gate) & (them != me)
             rows, cols, values = rows[fits], cols[fits], values[fits]
             # Row by row; entries of a row follow each other.
             for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(rows)) + 1):
@@ -68,13 +70,11 @@ def _nearest(k: int, gate: float, earlier_only: bool):
                 out_id.append(t_ids[start + rows[part][best]])
                 out_cand.append(v_ids[at])
                 out_sim.append(sim)
-                out_open.append(marks[at] == _OPEN)
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         return {
             "id": join(out_id, np.int64),
             "cand": join(out_cand, np.int64),
             "sim": join(out_sim, np.float64),
-            "cand_open": join(out_open, bool),
         }
 
     return kernel
@@ -86,7 +86,7 @@ def entity_candidates(names: DataFrame, k: int, gate: float) -> DataFrame:
     """
     rows = names.select("id", F.col("embedding").alias("vec"))
     placed = place(rows if gate > 0 else rows.limit(0), gate)
-    pairs = block_join(placed.rows, placed.rows, placed.cells, _nearest(k, gate, earlier_only=False), _PAIRS)
+    pairs = block_join(placed.rows, placed.rows, placed.cells, _nearest(k, gate), _PAIRS)
     best = top_k(pairs, ["id"], [F.desc("sim"), F.asc("cand")], k)
     return best.select("id", "rank", "cand", "sim")
 
@@ -101,16 +101,40 @@ def never_merge(name: Column, candidates: Column) -> Column:
     return F.lit("0")
 
 
-def resolve_entities(names: DataFrame, selector: Selector, k: int, gate: float) -> DataFrame:
+def _shown(waiting: DataFrame, news: DataFrame, k: int) -> DataFrame:
+    """Lists after the latest decisions: merged candidates go, entities are marked, and rows get a state.
+
+    A row is decided (``_ENTITY`` here) once none of its ``k`` nearest candidates is open; with fewer
+    than ``k`` left of a cut list it has used up what it knows.
+    """
+    fate = news.select(F.col("id").alias("cand"), (F.col("owner") == F.col("id")).alias("stands"))
+    met = waiting.select("id", "name", "more", F.explode("cands").alias("c")).select("id", "name", "more", "c", F.col("c.cand").alias("cand"))
+    stands = F.coalesce(F.col("stands"), F.col("c.stands"))
+    entry = F.struct(F.col("c.rank").alias("rank"), "cand", F.col("c.cand_name").alias("cand_name"), stands.alias("stands"))
+    left = met.join(fate, "cand", "left").groupBy("id", "name").agg(
+        F.array_sort(F.collect_list(F.when(F.coalesce("stands", F.lit(True)), entry))).alias("cands"), F.max("more").alias("more")
+    )
+    near = F.slice("cands", 1, k)
+    state = (
+        F.when(F.exists(near, lambda c: c["stands"].isNull()), _OPEN)
+        .when((F.size("cands") < k) & F.col("more"), USED_UP).otherwise(_ENTITY)
+    )
+    return left.select("id", "name", "cands", "more", state.alias("state"))
+
+
+def resolve_entities(names: DataFrame, selector: Selector, k: int, gate: float, width: int = WIDTH) -> DataFrame:
     """``(id, owner)`` for distinct names ``(id, name, embedding)`` in order of ``id``.
 
     ``owner`` is the id of the entity a name stands for, its own id if it is one.
     An optional boolean column ``settled`` marks existing entities, which precede
     all new names.
 
-    Works in rounds: a name is decided once none of its ``k`` nearest earlier
-    candidates is still open.  The earliest open name always is, so every round
-    makes progress, and independent names are decided together.
+    One similarity join lists the nearest earlier names of each, ``width`` of them
+    (``k`` at least).  Rounds over these lists then decide every name of which none
+    of the ``k`` nearest candidates is still open.  The earliest open name always is
+    one, so every round makes progress, and independent names are decided together.
+    Only a name whose listed candidates were nearly all merged into others is joined
+    once more, against names that were not.
     """
     if "settled" not in names.columns:
         names = names.withColumn("settled", F.lit(False))
@@ -118,53 +142,49 @@ def resolve_entities(names: DataFrame, selector: Selector, k: int, gate: float)
     if gate <= 0:
         return rows.select("id", F.col("id").alias("owner"))
     placed = place(rows, gate)
-    live = placed.rows.withColumn("state", F.when(F.col("settled"), _ENTITY).otherwise(_OPEN)).drop("settled")
-    # A settled entity stands for itself; the rest is decided below.
-    owners = live.where(F.col("state") == _ENTITY).select("id", F.col("id").alias("owner"))
-    kernel = _nearest(k, gate, earlier_only=True)
-    rounds = 0
-    while not live.where(F.col("state") == _OPEN).isEmpty():
-        pending = live.where(F.col("state") == _OPEN)
-        pairs = block_join(pending, live, placed.cells, kernel, _PAIRS, flag="state")
-        best = top_k(pairs, ["id"], [F.desc("sim"), F.asc("cand")], k)
-        ready = (
-            best.join(live.select(F.col("id").alias("cand"), F.col("name").alias("cand_name")), "cand")
-            .groupBy("id")
-            .agg(
-                F.max("cand_open").alias("blocked"),
-                F.array_sort(F.collect_list(F.struct("rank", "cand", "cand_name"))).alias("cands"),
-            )
-        )
-        judged = pending.select("id", "name").join(ready, "id", "left").where(
-            ~F.coalesce("blocked", F.lit(False))
-        )
+    called = placed.rows.select(F.col("id").alias("cand"), F.col("name").alias("cand_name"))
+
+    def listed(targets: DataFrame, visitors: DataFrame) -> DataFrame:
+        found = partner_lists(placed, targets, visitors, gate, max(k, width), nearest=True)
+        each = found.select("id", "more", F.explode("cands").alias("c")).select("id", "more", F.col("c.rank").alias("rank"), F.col("c.cand").alias("cand"))
+        entry = F.struct("rank", "cand", "cand_name", F.lit(None).cast("boolean").alias("stands"))
+        held = each.join(called, "cand").groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("cands"), F.max("more").alias("more"))
+        return held.join(targets.select("id", "name"), "id").select("id", "name", "cands", "more")
+
+    waiting = checkpoint(listed(placed.rows.where(~F.col("settled")), placed.rows))
+    # Settled entities and names with no earlier neighbour stand for themselves.
+    news = checkpoint(placed.rows.join(waiting, "id", "left_anti").select("id", F.col("id").alias("owner")))
+    owners, used_up = [news], []
+    while True:
+        told = _shown(waiting, news, k)
+        ready = told.where(F.col("state") == _ENTITY).withColumn("cands", F.slice("cands", 1, k))
         # Only names with candidates are put before the selector.
-        asked = judged.where(F.col("cands").isNotNull())
         reply = selector(F.col("name"), F.col("cands.cand_name"))
-        chosen = asked.withColumn("reply", reply).withColumn(
-            "choice", choice_index(F.col("reply"), F.size("cands"))
-        )
-        merged_into = F.when(
-            F.col("choice").isNotNull(), F.element_at(F.col("cands.cand"), F.col("choice"))
-        )
-        decided = checkpoint(
-            chosen.select("id", F.coalesce(merged_into, F.col("id")).alias("owner")).unionByName(
-                judged.where(F.col("cands").isNull()).select("id", F.col("id").alias("owner"))
-            )
-        )
-        owners = owners.unionByName(decided)
-        state = (
-            F.when(F.col("owner").isNull(), F.col("state"))
-            .when(F.col("owner") == F.col("id"), _ENTITY)
-            .otherwise(_MERGED)
-        )
-        live = checkpoint(
-            live.join(decided, "id", "left")
-            .withColumn("state", state)
-            .where(F.col("state") != _MERGED)
-            .drop("owner")
+        chosen = ready.where(F.size("cands") > 0).withColumn("reply", reply).withColumn("choice", choice_index(F.col("reply"), F.size("cands")))
+        merged_into = F.when(F.col("choice").isNotNull(), F.element_at(F.col("cands.cand"), F.col("choice")))
+        parts = [
+            chosen.withColumn("owner", F.coalesce(merged_into, F.col("id"))), ready.where(F.size("cands") == 0).withColumn("owner", F.col("id")),
+            told.where(F.col("state") != _ENTITY).withColumn("owner", F.lit(None).cast("long")),
+        ]
+        columns = ["id", "name", "cands", "more", "state", "owner"]
+        told, counts = checkpoint_counting(
+            reduce(DataFrame.unionByName, [p.select(columns) for p in parts]), "state", (_OPEN, _ENTITY, USED_UP)
         )
-        rounds += 1
-        if rounds % 16 == 0:
-            owners = checkpoint(owners)
-    return owners
+        waiting = told.where(F.col("state") == _OPEN).drop("state", "owner")
+        news = told.where(F.col("state") == _ENTITY).select("id", "owner")
+        owners.append(news)
+        if counts[USED_UP]:
+            used_up.append(told.where(F.col("state") == USED_UP).select("id"))
+        if counts[_ENTITY] and counts[_OPEN]:
+            continue
+        if not used_up:
+            break
+        again = reduce(DataFrame.unionByName, used_up)
+        known = reduce(DataFrame.unionByName, owners)
+        standing = placed.rows.join(known.where(F.col("owner") != F.col("id")), "id", "left_anti")
+        longer = checkpoint(listed(placed.rows.join(again, "id", "left_semi"), standing))
+        free = checkpoint(again.join(longer, "id", "left_anti").select("id", F.col("id").alias("owner")))
+        owners.append(free)
+        waiting, used_up = waiting.unionByName(longer), []
+        news = known.unionByName(free)
+    return reduce(DataFrame.unionByName, owners)

@@ -1,74 +1,48 @@
 """Greedy removal of near copies: in ledger order, a row goes if an earlier *kept* row is too similar.
 
-The outcome of the sequential rule is reached in rounds.  In each, a row falls
-if a row kept in the round before is its partner, and it is kept if no earlier
-partner is still open.  A row that is dropped never suppresses another one.
+One similarity join lists the oldest earlier partners of every row.  The outcome of the sequential
+rule is then reached in rounds over these lists: a row falls if a partner was kept, and is kept once
+all its partners have fallen.  A row that is dropped never suppresses another one.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import l2_norm
-from lodestone.operators.blocks import int64, matrix, near_pairs, rounded, unit_rows
-from lodestone.operators.simjoin import block_join, place
-from lodestone.session import checkpoint
-
-_OPEN, _KEPT, _DROPPED = 0, 1, 2
-_VERDICT = "id long, near_kept boolean, near_open boolean"
-
-
-def _verdicts(threshold: float):
-    def kernel(t_ids, v_ids, marks, slices):
-        near_kept = np.zeros(len(t_ids), bool)
-        near_open = np.zeros(len(t_ids), bool)
-        kept = marks == _KEPT
-        for start, sims in slices:
-            rows, cols, values = near_pairs(sims, threshold)
-            near = (values > threshold) & (v_ids[cols] < t_ids[start + rows])
-            rows, by_kept = start + rows[near], kept[cols[near]]
-            near_kept[rows[by_kept]] = True
-            near_open[rows[~by_kept]] = True
-        return {"id": t_ids, "near_kept": near_kept, "near_open": near_open}
-
-    return kernel
-
-
-def _finish(threshold: float):
-    """The sequential rule on one block that holds every row still in play."""
-
-    def greedy(table: pa.Table) -> pa.Table:
-        order = np.argsort(int64(table["id"]))
-        ids = int64(table["id"])[order]
-        unit = unit_rows(matrix(table["vec"])[order])
-        state = int64(table["state"])[order].copy()
-        for i in range(len(ids)):
-            if state[i] == _DROPPED:
-                continue
-            state[i] = _KEPT
-            later = rounded(unit[i + 1 :] @ unit[i]) > threshold
-            state[i + 1 :][later & (state[i + 1 :] == _OPEN)] = _DROPPED
-        return pa.table({"id": ids[state == _KEPT]})
+from lodestone.operators.partners import DROPPED, KEPT, OPEN, USED_UP, WIDTH, partner_lists
+from lodestone.operators.simjoin import place
+from lodestone.session import checkpoint, checkpoint_counting
 
-    return greedy
+def _step(open_rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """``(id, state, cands, more)`` of open rows, given what was decided since their lists were cut last."""
+    fate = decided.select(F.col("id").alias("cand"), F.col("state").alias("fate"))
+    met = open_rows.select("id", "more", F.explode("cands").alias("cand")).join(fate, "cand", "left")
+    left = met.groupBy("id").agg(
+        F.max(F.coalesce(F.col("fate") == KEPT, F.lit(False))).alias("near_kept"),
+        F.collect_list(F.when(F.col("fate").isNull(), F.col("cand"))).alias("cands"), F.max("more").alias("more"),
+    )
+    state = (
+        F.when(F.col("near_kept"), DROPPED).when(F.size("cands") > 0, OPEN).when(F.col("more"), USED_UP).otherwise(KEPT)
+    )
+    return left.select("id", state.alias("state"), "cands", "more")
 
 
-def semantic_dedup(vectors: DataFrame, threshold: float, last_block: int = 4096) -> DataFrame:
+def semantic_dedup(vectors: DataFrame, threshold: float, width: int = WIDTH) -> DataFrame:
     """``(id, kept)`` for ``(id, embedding)``; the id is the ledger position.
 
-    An optional boolean column ``settled`` marks rows kept by an earlier run,
-    which must precede all others; they are not judged again.  Once no more than
-    ``last_block`` rows are in play, one task finishes them with the sequential
-    rule, which also cuts long chains of near copies short.
+    An optional boolean column ``settled`` marks rows kept by an earlier run, which must precede all
+    others; they are not judged again.  Lists hold ``width`` partners; only a row with more partners,
+    all of whose listed ones have fallen, is joined once more, against rows that have not fallen.
+    The number of rounds is the longest chain of dependent rows.
     """
     if "settled" not in vectors.columns:
         vectors = vectors.withColumn("settled", F.lit(False))
     rows = vectors.select("id", F.col("embedding").alias("vec"), "settled")
-    collapse = 0.0 <= threshold < 1.0
-    if collapse:
+    if 0.0 <= threshold < 1.0:
         # Exact copies of a vector share the fate of the first: it is their
         # partner if kept, and whoever drops it drops them too.  Zero vectors
         # are similar to nothing and all stay.
@@ -81,43 +55,36 @@ def semantic_dedup(vectors: DataFrame, threshold: float, last_block: int = 4096)
     else:
         zero, leaders = None, rows
     placed = place(leaders, threshold)
-    live = placed.rows.withColumn("state", F.when(F.col("settled"), _KEPT).otherwise(_OPEN)).drop("settled")
-    kept = live.where(F.col("state") == _KEPT).select("id")
-    verdict = _verdicts(threshold)
-    rounds = 0
+    fresh = placed.rows.where(~F.col("settled"))
+
+    def listed(targets: DataFrame, visitors: DataFrame) -> DataFrame:
+        found = partner_lists(placed, targets, visitors, threshold, width, strict=True)
+        return found.select("id", F.lit(OPEN).alias("state"), F.col("cands.cand").alias("cands"), "more")
+
+    waiting = checkpoint(listed(fresh, placed.rows))
+    news = checkpoint(placed.rows.join(waiting, "id", "left_anti").select("id", F.lit(KEPT).alias("state")))
+    outcomes, used_up = [news], []
     while True:
-        states = dict(live.groupBy("state").agg(F.count("*")).collect())
-        if not states.get(_OPEN):
+        told, counts = checkpoint_counting(_step(waiting, news), "state", (OPEN, KEPT, DROPPED, USED_UP))
+        news = told.where(F.col("state").isin(KEPT, DROPPED)).select("id", "state")
+        outcomes.append(news)
+        waiting = told.where(F.col("state") == OPEN)
+        if counts[USED_UP]:
+            used_up.append(told.where(F.col("state") == USED_UP).select("id"))
+        if counts[OPEN] and (counts[KEPT] or counts[DROPPED]):
+            continue
+        if not used_up:
             break
-        if sum(states.values()) <= last_block:
-            last = live.select(
-                F.lit(0).alias("block"), "id", "vec", F.col("state").cast("long").alias("state")
-            )
-            kept = kept.unionByName(last.groupBy("block").applyInArrow(_finish(threshold), "id long"))
-            break
-        pending = live.where(F.col("state") == _OPEN)
-        found = (
-            block_join(pending, live, placed.cells, verdict, _VERDICT, flag="state")
-            .groupBy("id")
-            .agg(F.max("near_kept").alias("near_kept"), F.max("near_open").alias("near_open"))
-        )
-        outcome = (
-            F.when(F.col("near_kept"), _DROPPED)
-            .when(F.col("near_open"), _OPEN)
-            .otherwise(_KEPT)
-        )
-        # Rows kept before this round have met everyone who is still open.
-        live = checkpoint(
-            pending.drop("state")
-            .join(found, "id", "left")
-            .withColumn("state", outcome)
-            .where(F.col("state") != _DROPPED)
-            .drop("near_kept", "near_open")
-        )
-        kept = kept.unionByName(live.where(F.col("state") == _KEPT).select("id"))
-        rounds += 1
-        if rounds % 16 == 0:
-            kept = checkpoint(kept)
+        # All that is left waits for rows whose lists are used up; these look beyond them.
+        again = reduce(DataFrame.unionByName, used_up)
+        fates = reduce(DataFrame.unionByName, outcomes)
+        standing = placed.rows.join(fates.where(F.col("state") == DROPPED), "id", "left_anti")
+        longer = checkpoint(listed(placed.rows.join(again, "id", "left_semi"), standing))
+        free = checkpoint(again.join(longer, "id", "left_anti").select("id", F.lit(KEPT).alias("state")))
+        outcomes.append(free)
+        waiting, used_up = waiting.unionByName(longer), []
+        news = fates.unionByName(free)
+    kept = reduce(DataFrame.unionByName, outcomes).where(F.col("state") == KEPT).select("id")
     if zero is not None:
         kept = kept.unionByName(zero)
     flags = kept.distinct().select("id", F.lit(True).alias("kept"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A relation is broadcast only if its measured size stays below this.
@@ -51,6 +52,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpoint_counting(df: DataFrame, column: str, values: Sequence[int]) -> tuple[DataFrame, dict[int, int]]:
+    """``checkpoint``, and how many rows hold each of ``values``, counted while they are written."""
+    seen = Observation()
+    counts = [F.sum(F.when(F.col(column) == v, 1).otherwise(0)).alias(f"v{v}") for v in values]
+    written = checkpoint(df.observe(seen, *counts))
+    found = seen.get
+    return written, {v: found.get(f"v{v}") or 0 for v in values}
+
+
 def measured_bytes(df: DataFrame, per_row: int = 16, payload: Column | None = None) -> int:
     """Size of a relation: a fixed cost per row plus the measured length of ``payload``."""
     extra = F.coalesce(F.sum(payload.cast("long")), F.lit(0)) if payload is not None else F.lit(0)

@@ -77,21 +77,30 @@ def greedy(s, t):
 
 
 @pytest.mark.parametrize("threshold", [0.5, 0.9, 0.98, -0.2])
-@pytest.mark.parametrize("last_block", [0, 4096])
-def test_dedup_equals_the_sequential_rule(spark, monkeypatch, threshold, last_block):
+@pytest.mark.parametrize("width", [1, 3, 32])
+def test_dedup_equals_the_sequential_rule(spark, monkeypatch, threshold, width):
     small_cells(monkeypatch)
     v = cloud()
-    got = semantic_dedup.semantic_dedup(frame(spark, v), threshold, last_block).where("kept").collect()
+    got = semantic_dedup.semantic_dedup(frame(spark, v), threshold, width).where("kept").collect()
     assert sorted(r.id for r in got) == greedy(sims(v), threshold)
 
 
+def test_dedup_of_a_chain_and_of_nothing(spark):
+    # Neighbours are near, others are not: every second one stays.
+    v = [[float(np.cos(i / 4)), float(np.sin(i / 4))] for i in range(12)]
+    rows = spark.createDataFrame(list(enumerate(v)), "id long, embedding array<double>")
+    got = semantic_dedup.semantic_dedup(rows, 0.93, 1).where("kept").orderBy("id").collect()
+    assert [r.id for r in got] == list(range(0, 12, 2))
+    assert semantic_dedup.semantic_dedup(rows.limit(0), 0.93).count() == 0
+
+
 def test_dedup_of_an_addition_equals_a_full_run(spark):
     v = cloud()
     s = sims(v)
     first = [i for i in greedy(s[:150, :150], 0.9)]
     rows = frame(spark, v).where(F.col("id").isin(first) | (F.col("id") >= 150))
     rows = rows.withColumn("settled", F.col("id") < 150)
-    got = semantic_dedup.semantic_dedup(rows, 0.9, last_block=0).where("kept").collect()
+    got = semantic_dedup.semantic_dedup(rows, 0.9, width=2).where("kept").collect()
     assert sorted(r.id for r in got) == greedy(s, 0.9)
 
 
@@ -116,8 +125,8 @@ def sequential(names, s, pick, k, gate):
     return owner
 
 
-@pytest.mark.parametrize("gate", [0.6, 0.93])
-def test_entities_equal_the_sequential_rule(spark, monkeypatch, gate):
+@pytest.mark.parametrize(("gate", "width"), [(0.6, 32), (0.93, 32), (0.6, 4), (0.93, 1)])
+def test_entities_equal_the_sequential_rule(spark, monkeypatch, gate, width):
     small_cells(monkeypatch)
     v = cloud(n=120)
     names = frame(spark, v).withColumn("name", F.concat(F.lit("n"), F.col("id").cast("string")))
@@ -130,7 +139,7 @@ def test_entities_equal_the_sequential_rule(spark, monkeypatch, gate):
         r = (len(f"n{j}") * 7 + len(near) * 3 + ord(f"n{j}"[1])) % (len(near) + 2)
         return r if 1 <= r <= len(near) else 0
 
-    got = {r.id: r.owner for r in entities.resolve_entities(names, reply, 3, gate).collect()}
+    got = {r.id: r.owner for r in entities.resolve_entities(names, reply, 3, gate, width).collect()}
     assert got == sequential(range(len(v)), sims(v), pick, 3, gate)
 
 
