@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import (
-    EmbeddingConfig, ExperimentConfig, IngestionConfig, LLMConfig, RetrievalConfig,
+    EmbeddingConfig, ExperimentConfig, IngestionConfig, LLMConfig, RetrievalConfig, VecGraphConfig,
 )
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
@@ -17,9 +19,10 @@ from lodestone.operators import (
     semantic_dedup, triples, vecgraph,
 )
 from lodestone.plans.agent import Agent
-from lodestone.plans.memories import OverlapMemory
-from lodestone.plugins import offline_models
-from lodestone.session import checkpoint
+from lodestone.plans.memories import Memory, OverlapMemory, build_memory
+from lodestone.plugins import Models, offline_models
+from lodestone.session import checkpoint, checkpoint_dir
+from lodestone.sources.store import TableStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -344,6 +347,20 @@ def entity_resolution(spark, folder):
     return entities.resolve_entities(names, entities.always_nearest, TOP_K, NEAR)
 
 
+@_query
+def choice_replies(spark, folder):
+    """Replies of a selector read as a choice among five: numbers in and out of range, signs, words, blanks."""
+    number = F.col("user_id") % 8
+    said = (
+        F.when(F.col("event_type") == "view", F.concat(F.lit("  "), number.cast("string"), F.lit("\n")))
+        .when(F.col("event_type") == "click", F.concat(F.lit("+"), number.cast("string")))
+        .when(F.col("event_type") == "error", F.concat(number.cast("string"), F.lit(".")))
+        .otherwise(F.concat(F.lit("-"), number.cast("string")))
+    )
+    replies = _table(spark, folder, "events").select("event_id", said.alias("reply"))
+    return replies.select("event_id", T.choice_index(F.col("reply"), F.lit(5)).cast("long").alias("choice"))
+
+
 @_query
 def alias_resolve(spark, folder):
     """Part names, brands and types looked up among entities named after parts."""
@@ -509,3 +526,65 @@ def qa_answers(spark, folder):
         "qid", "variant_name", "agent_type", "question", "expected", "answer",
         F.size("context_used").alias("passages"), F.array_join("steps_taken", ",").alias("steps"), "backend_name",
     )
+
+
+# ---- backends over their stores ---------------------------------------------
+
+
+def _memory(spark: SparkSession, agent_type: str, models: Models, cutoff: float = 0.7) -> Memory:
+    """An empty backend with a store of its own in the shared folder."""
+    config = ExperimentConfig(
+        variant_name="registered", agent_type=agent_type, data_file="documents",
+        llm=LLMConfig("offline/reader"), embedding=EmbeddingConfig("offline/letters"),
+        retrieval=RetrievalConfig(TOP_K, cutoff), ingestion=IngestionConfig(CHUNK_SIZE, CHUNK_OVERLAP),
+        vecgraph=VecGraphConfig(dedup_threshold=1.0, entity_lm_lower=0.5, entity_lm_top_k=TOP_K),
+    )
+    return build_memory(spark, config, models, TableStore(spark, f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"))
+
+
+def _letters(text):
+    """How often each letter occurs in a text: an embedding other engines can repeat."""
+    low = F.lower(text)
+    count = lambda c: (F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("float")
+    return F.array(*[count(c) for c in "abcdefghijklmnopqrstuvwxyz"])
+
+
+def _told_and_asked(memory: Memory, spark: SparkSession, folder: str) -> DataFrame:
+    """Hits after all documents and, as a later fact, the first benchmark text were taken in."""
+    memory.ingest_documents(_documents(spark, folder))
+    fact = _table(spark, folder, "benchmark").agg(F.min_by("text", "item_id")).first()[0]
+    memory.update_fact(fact)
+    hits = memory.search_many(_benchmark_queries(spark, folder))
+    return hits.select("qid", "rank", T.text_md5(F.col("text")).alias("text_md5"))
+
+
+@_query
+def bm25_store_search(spark, folder):
+    """Full-text search over stored postings, with a fact added after ingestion."""
+    return _told_and_asked(_memory(spark, "bm25", offline_models()), spark, folder)
+
+
+@_query
+def vector_store_search(spark, folder):
+    """Vector search over stored chunks, with a fact added after ingestion."""
+    return _told_and_asked(_memory(spark, "vector", Models(embed=_letters), 0.97), spark, folder)
+
+
+@_query
+def pipeline_cost(spark, folder):
+    """Model calls of a run over described relations: extraction, selection, embedding and search."""
+    nation = _table(spark, folder, "nation")
+    placed = _table(spark, folder, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    facts = placed.select(
+        F.col("s_suppkey").alias("doc_id"), F.concat("s_name", F.lit(" is located in "), "n_name", F.lit(".")).alias("text")
+    )
+    # Names of one kind are alike, those of different kinds are not.
+    kind = lambda text: F.when(text.startswith("Supplier"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(
+        F.array(F.lit(0.0), F.lit(1.0))).cast("array<float>")
+    memory = _memory(spark, "vecgraph", Models(embed=kind))
+    memory.ingest_documents(facts)
+    memory.search_many(
+        nation.select(F.col("n_nationkey").alias("qid"), F.concat(F.lit("what is located in "), "n_name").alias("query"))
+    )
+    records = reduce(DataFrame.unionByName, memory.calls)
+    return costs.cost_by(records, ["phase", "actor", "model"]).drop("latency_ms")

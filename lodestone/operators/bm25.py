@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import fts_tokens, is_blank, quoted_phrases
+from lodestone.operators.blockmax import Weights, top_sums
 from lodestone.operators.ranking import top_k
 from lodestone.session import BROADCAST_BYTES, checkpoint, spread_small_scan
 
@@ -71,12 +73,15 @@ def tokenized(docs: DataFrame) -> DataFrame:
     return tokens.withColumn("dl", F.size("tokens").cast("long"))
 
 
-def build_postings(docs: DataFrame) -> DataFrame:
+def build_postings(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """``(doc_id, term, tf, positions, dl)``: one row per document and term.
 
-    The list of positions belongs to one document, so it is bounded by its length.
+    The list of positions belongs to one document, so it is bounded by its length.  With a number of
+    buckets documents are dealt out by id first: grouping then shuffles nothing, and a table of so many
+    buckets by ``doc_id`` gets one file a bucket.
     """
-    exploded = tokenized(docs).select(
+    tokens = tokenized(docs)
+    exploded = (tokens.repartition(buckets, "doc_id") if buckets else tokens).select(
         "doc_id", "dl", F.posexplode("tokens").alias("pos", "term")
     )
     return (
@@ -201,13 +206,58 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
     return top_k(scores, ["qid"], order, k).select("qid", "rank", "doc_id", "score")
 
 
+def _numbered(phrases: Phrases) -> DataFrame:
+    """``(phrase, term)``: distinct phrases with numbers, collected only if they were measured small."""
+    held = sorted(r[0] for r in phrases.table.select("phrase").distinct().collect())
+    return phrases.table.sparkSession.createDataFrame([(p, i) for i, p in enumerate(held)], "phrase string, term int")
+
+
+def _by_document(frequencies: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``(doc_id, dl, terms, tf)``: one row per document; it is as long as the text at most."""
+    entry = F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))))
+    joined = frequencies.join(F.broadcast(numbers), "phrase", "left")
+    return joined.groupBy("doc_id", "dl").agg(entry.alias("e")).select(
+        "doc_id", "dl", F.col("e.term").alias("terms"), F.col("e.tf").alias("tf")
+    )
+
+
+def _best(documents: DataFrame, stats: DataFrame, numbers: DataFrame, phrases: Phrases, k: int) -> DataFrame:
+    """Ranking of stored rows by document: sums never leave the task that holds the document."""
+    n_docs, avgdl = stats.select("n_docs", "avgdl").first()
+    frequent = documents.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    asked = phrases.table.select("qid", "phrase", "weight").join(F.broadcast(numbers), "phrase").join(frequent, "term")
+    rows = asked.select(F.col("qid").cast("long").alias("qid"), "term", "weight", "df").toArrow()  # measured before
+    qid, term, weight, df = (rows.column(c).to_numpy() for c in ("qid", "term", "weight", "df"))
+    if not len(qid):
+        return documents.sparkSession.createDataFrame([], "qid long, rank long, doc_id long, score double")
+    idf = np.log((n_docs - df + 0.5) / (df + 0.5))
+    gain = np.where(idf <= 0, IDF_FLOOR, idf) * weight
+    weights = Weights.of(qid, term.astype(np.int64), gain, int(term.max()) + 1)
+
+    def saturation(tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
+        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+    # Documents come without their ids' type here; ids are long throughout.
+    held = documents.where(F.size("terms") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("dl").cast("long").alias("dl"), "terms", "tf")
+    return ranked(top_sums(held, weights, saturation, k, _SCORE_DIGITS), k)
+
+
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``(qid, rank, doc_id, score)`` for documents ``(doc_id, text)`` and queries ``(qid, query)``."""
+    """``(qid, rank, doc_id, score)`` for documents ``(doc_id, text)`` and queries ``(qid, query)``.
+
+    Queries of a measured small size are held by every task, which scores its documents block by
+    block; more queries than that meet the documents in joins.
+    """
     phrases = query_phrases(queries)
     # One pass over the text; everything after reads the few rows that matter.
-    found = checkpoint(phrase_frequencies(tokenized(docs), phrases))
-    stats = corpus_stats(found.where(F.col("phrase") == ""))
-    return ranked(scored(found.where(F.col("phrase") != ""), stats, phrases), k)
+    frequencies = phrase_frequencies(tokenized(docs), phrases)
+    if not phrases.small:
+        found = checkpoint(frequencies)
+        stats = corpus_stats(found.where(F.col("phrase") == ""))
+        return ranked(scored(found.where(F.col("phrase") != ""), stats, phrases), k)
+    numbers = _numbered(phrases)
+    documents = checkpoint(_by_document(frequencies, numbers))
+    return _best(documents, corpus_stats(documents), numbers, phrases, k)
 
 
 def bm25_search_index(
@@ -216,4 +266,8 @@ def bm25_search_index(
     """The same ranking from stored postings and document lengths."""
     phrases = query_phrases(queries)
     frequencies = indexed_phrase_frequencies(postings, phrases)
-    return ranked(scored(frequencies, corpus_stats(doc_lengths), phrases), k)
+    if not phrases.small:
+        return ranked(scored(frequencies, corpus_stats(doc_lengths), phrases), k)
+    numbers = _numbered(phrases)
+    documents = checkpoint(_by_document(frequencies, numbers))
+    return _best(documents, corpus_stats(doc_lengths), numbers, phrases, k)

@@ -14,6 +14,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.functions.text import choice_index, norm_name
 from lodestone.operators.blocks import best_of, near_pairs
@@ -25,7 +26,7 @@ from lodestone.session import checkpoint, checkpoint_counting
 _PAIRS = "id long, cand long, sim double"
 _OPEN, _ENTITY = 0, 1
 
-# (candidate name, names of the candidates in rank order) -> reply
+# (candidate name, names of the candidates in rank order) -> reply text, or a struct with a field ``reply``
 Selector = Callable[[Column, Column], Column]
 
 
@@ -122,7 +123,9 @@ def _shown(waiting: DataFrame, news: DataFrame, k: int) -> DataFrame:
     return left.select("id", "name", "cands", "more", state.alias("state"))
 
 
-def resolve_entities(names: DataFrame, selector: Selector, k: int, gate: float, width: int = WIDTH) -> DataFrame:
+def resolve_entities(
+    names: DataFrame, selector: Selector, k: int, gate: float, width: int = WIDTH, on_replies: Callable[[DataFrame], None] | None = None
+) -> DataFrame:
     """``(id, owner)`` for distinct names ``(id, name, embedding)`` in order of ``id``.
 
     ``owner`` is the id of the entity a name stands for, its own id if it is one.
@@ -135,6 +138,8 @@ def resolve_entities(names: DataFrame, selector: Selector, k: int, gate: float,
     one, so every round makes progress, and independent names are decided together.
     Only a name whose listed candidates were nearly all merged into others is joined
     once more, against names that were not.
+
+    ``on_replies`` is told of the replies of every round, as written rows with a column ``reply``.
     """
     if "settled" not in names.columns:
         names = names.withColumn("settled", F.lit(False))
@@ -160,17 +165,22 @@ def resolve_entities(names: DataFrame, selector: Selector, k: int, gate: float,
         ready = told.where(F.col("state") == _ENTITY).withColumn("cands", F.slice("cands", 1, k))
         # Only names with candidates are put before the selector.
         reply = selector(F.col("name"), F.col("cands.cand_name"))
-        chosen = ready.where(F.size("cands") > 0).withColumn("reply", reply).withColumn("choice", choice_index(F.col("reply"), F.size("cands")))
+        chosen = ready.where(F.size("cands") > 0).withColumn("reply", reply)
+        kind = chosen.schema["reply"].dataType
+        said = F.col("reply.reply") if isinstance(kind, StructType) else F.col("reply")
+        chosen, none = chosen.withColumn("choice", choice_index(said, F.size("cands"))), F.lit(None).cast(kind)
         merged_into = F.when(F.col("choice").isNotNull(), F.element_at(F.col("cands.cand"), F.col("choice")))
         parts = [
-            chosen.withColumn("owner", F.coalesce(merged_into, F.col("id"))), ready.where(F.size("cands") == 0).withColumn("owner", F.col("id")),
-            told.where(F.col("state") != _ENTITY).withColumn("owner", F.lit(None).cast("long")),
+            chosen.withColumn("owner", F.coalesce(merged_into, F.col("id"))), ready.where(F.size("cands") == 0).withColumn("owner", F.col("id")).withColumn("reply", none),
+            told.where(F.col("state") != _ENTITY).withColumn("owner", F.lit(None).cast("long")).withColumn("reply", none),
         ]
-        columns = ["id", "name", "cands", "more", "state", "owner"]
+        columns = ["id", "name", "cands", "more", "state", "owner", "reply"]
         told, counts = checkpoint_counting(
             reduce(DataFrame.unionByName, [p.select(columns) for p in parts]), "state", (_OPEN, _ENTITY, USED_UP)
         )
-        waiting = told.where(F.col("state") == _OPEN).drop("state", "owner")
+        waiting = told.where(F.col("state") == _OPEN).drop("state", "owner", "reply")
+        if on_replies:
+            on_replies(told.where(F.col("reply").isNotNull()).select("reply"))
         news = told.where(F.col("state") == _ENTITY).select("id", "owner")
         owners.append(news)
         if counts[USED_UP]:

@@ -11,9 +11,9 @@ _WORDS = r"list_filter(string_split_regex({text}, '\s+'), lambda w: w <> '')"
 _DOC_TOKENS = f"docs AS (SELECT doc_id, {_TOKENS.format(text='text')} AS tokens FROM documents)"
 
 
-def _bm25(query: str, k: int = 5) -> str:
+def _bm25(query: str, k: int = 5, docs: str = _DOC_TOKENS, result: str | None = None) -> str:
     return f"""
-    WITH {_DOC_TOKENS},
+    WITH {docs},
     words AS (SELECT item_id AS qid,
         unnest({_WORDS.format(text=f"regexp_replace({query}, '[\"*()\\-+^:]', ' ', 'g')")}) AS w FROM benchmark),
     phrases AS (SELECT qid, tokens, array_to_string(tokens, ' ') AS phrase, count(*) AS weight
@@ -37,7 +37,7 @@ def _bm25(query: str, k: int = 5) -> str:
         FROM freq JOIN gain USING (phrase) JOIN phrases USING (phrase), stats GROUP BY qid, doc_id),
     ranked AS (SELECT qid, doc_id, score,
         row_number() OVER (PARTITION BY qid ORDER BY round(score, 10) DESC, doc_id) AS rank FROM scores)
-    SELECT qid, rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= {k}
+    {result or f"SELECT qid, rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= {k}"}
     """
 
 
@@ -327,3 +327,56 @@ SQL["qa_answers"] = f"""
         'retrieve,reason' AS steps, 'dummy' AS backend_name
     FROM benchmark b LEFT JOIN ctx ON qid = item_id
 """
+
+# The stripped, non-blank documents in order, and behind them the first benchmark text as a later fact.
+_STORED = r"""
+    told AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM documents),
+    stored AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS doc_id, text FROM told WHERE text <> ''
+        UNION ALL SELECT 1000000000000, regexp_replace(min_by(text, item_id), '^\s+|\s+$', '', 'g') FROM benchmark)
+"""
+SQL["bm25_store_search"] = _bm25(
+    "text", 5, f"{_STORED}, docs AS (SELECT doc_id, {_TOKENS.format(text='text')} AS tokens FROM stored)",
+    "SELECT qid, rank, md5(text) AS text_md5 FROM ranked JOIN stored USING (doc_id) WHERE rank <= 5",
+)
+
+_LETTERS = (
+    "list_transform(range(97, 123), lambda c: (length(lower({text})) - length(replace(lower({text}), chr(c::INTEGER), '')))::DOUBLE)"
+)
+SQL["vector_store_search"] = f"""
+    WITH {_CHUNKS},
+    pieces AS (SELECT doc_id, chunk_no, chunk FROM chunks
+        UNION ALL SELECT 1000000000000, 0, regexp_replace(min_by(text, item_id), '^\\s+|\\s+$', '', 'g') FROM benchmark),
+    vectors AS (SELECT row_number() OVER (ORDER BY doc_id, chunk_no) AS id, chunk, {_LETTERS.format(text='chunk')} AS v FROM pieces),
+    asked AS (SELECT item_id AS qid, {_LETTERS.format(text='text')} AS q FROM benchmark),
+    sims AS (SELECT qid, id, chunk, list_dot_product(q, v) / greatest(sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v)), 1e-300) AS cos
+        FROM asked, vectors),
+    hits AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(cos, 12) DESC, id) AS rank FROM sims QUALIFY rank <= 5)
+    SELECT qid, rank, md5(chunk) AS text_md5 FROM hits WHERE 1 - (1 - cos) / 2 >= 0.97
+"""
+
+_COUNT = "(length({text}) - length(replace({text}, ' ', '')) + 1)"
+SQL["pipeline_cost"] = f"""
+    WITH f AS (SELECT s_suppkey AS doc, {_COUNT.format(text='n_name')} AS w, n_name
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    places AS (SELECT n_name, any_value(w) AS w, row_number() OVER (ORDER BY min(doc)) AS j FROM f GROUP BY n_name),
+    -- A name is shown the first five of its kind before it, in a prompt of twenty words and two a line.
+    shown AS (
+        SELECT 20 + 1 + 2 * least(5, row_number() OVER (ORDER BY doc) - 1) AS p, row_number() OVER (ORDER BY doc) AS j FROM f
+        UNION ALL
+        SELECT 20 + w + (SELECT sum(1 + b.w) FROM places b WHERE b.j <= least(5, a.j - 1)), a.j FROM places a),
+    calls AS (
+        SELECT 'ingest' AS phase, 'graph_extract' AS actor, 'offline/reader' AS model, 4 + w AS p, 2 * w + 2 AS c FROM f
+        UNION ALL SELECT 'ingest', 'graph_extract', 'offline/reader', p, 1 FROM shown WHERE j > 1
+        UNION ALL SELECT 'ingest', 'vector_embed', 'offline/letters', 1, 0 FROM f
+        UNION ALL SELECT 'ingest', 'vector_embed', 'offline/letters', w, 0 FROM places
+        UNION ALL SELECT 'ingest', 'vector_embed', 'offline/letters', 4 + w, 0 FROM f
+        UNION ALL SELECT 'retrieval_overhead', 'vector_embed', 'offline/letters', 4 + {_COUNT.format(text='n_name')}, 0 FROM nation)
+    SELECT phase, actor, model, count(*)::BIGINT AS calls, 0::BIGINT AS failures, sum(p)::BIGINT AS prompt_tokens,
+        sum(c)::BIGINT AS completion_tokens, 0::BIGINT AS reasoning_tokens, sum(p + c)::BIGINT AS total_tokens
+    FROM calls GROUP BY ALL
+"""
+
+SQL["choice_replies"] = """
+    SELECT event_id, CASE WHEN event_type IN ('view', 'click') AND user_id % 8 BETWEEN 1 AND 5 THEN user_id % 8 END::BIGINT AS choice
+    FROM events
+"""

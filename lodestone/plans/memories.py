@@ -29,6 +29,8 @@ from lodestone.sources.store import TableStore
 
 _DOCS = "doc_id long, text string"
 _HITS = "qid long, rank long, text string"
+# Stream batches taken in so far.
+_BATCHES = "batches"
 
 
 class Memory(ABC):
@@ -37,14 +39,21 @@ class Memory(ABC):
     name: str
     tables: tuple[str, ...]
 
-    def __init__(self, spark: SparkSession, config: ExperimentConfig, models: Models) -> None:
+    def __init__(
+        self, spark: SparkSession, config: ExperimentConfig, models: Models,
+        store: TableStore | None = None, calls: list[DataFrame] | None = None,
+    ) -> None:
+        """``store`` holds the state, by default one at ``memory_path``.  ``calls`` is a list of noted model
+        calls that several backends of one session may share.
+        """
         self.spark, self.config, self.models = spark, config, models
-        if not config.memory_path and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("memory_path must name a folder all executors share")
-        root = config.memory_path or tempfile.mkdtemp(prefix=f"lodestone-{self.name}-")
-        self.store = TableStore(spark, root)
+        if store is None:
+            if not config.memory_path and not spark.sparkContext.master.startswith("local"):
+                raise ValueError("memory_path must name a folder all executors share")
+            store = TableStore(spark, config.memory_path or tempfile.mkdtemp(prefix=f"lodestone-{self.name}-"))
+        self.store = store
         # Records of model calls not yet written to the log.
-        self.calls: list[DataFrame] = []
+        self.calls: list[DataFrame] = [] if calls is None else calls
 
     @property
     def k(self) -> int:
@@ -59,6 +68,20 @@ class Memory(ABC):
         """Take in documents ``(doc_id, text)``, or a list of texts; blank ones are skipped."""
         self._ingest(self._as_documents(documents), "ingest", "ingest", chunked=True)
 
+    def ingest_batch(self, documents: DataFrame, source: str, batch_id: int) -> bool:
+        """Take in one batch of a stream unless it was taken before; tells whether it was.
+
+        A batch is noted under its source and number once its rows are stored.  If a job dies in between,
+        the replay appends again what had been appended, so rows are also compared with the stored ones
+        by the backends that keep each fact once.
+        """
+        taken = self.store.read(_BATCHES, "source string, batch_id long")
+        if not taken.where((F.col("source") == source) & (F.col("batch_id") == batch_id)).isEmpty():
+            return False
+        self.ingest_documents(documents)
+        self.store.append(_BATCHES, self.spark.createDataFrame([(source, batch_id)], "source string, batch_id long").coalesce(1))
+        return True
+
     def update_fact(self, fact: str) -> None:
         """Take in a single statement, findable at once."""
         if fact.strip():
@@ -74,8 +97,8 @@ class Memory(ABC):
         return [row.text for row in hits.orderBy("rank").collect()]
 
     def reset(self) -> None:
-        self.store.drop(*self.tables)
-        self.calls = []
+        self.store.drop(*self.tables, _BATCHES)
+        self.calls.clear()
 
     @property
     @abstractmethod
@@ -186,7 +209,7 @@ class Bm25Memory(_PassageMemory):
         # Pinned first, as the numbers depend on what is stored already.
         fresh = checkpoint(self._numbered(docs))
         name, *layout = self._postings
-        self.store.append_bucketed(name, bm25.build_postings(fresh), *layout)
+        self.store.append_bucketed(name, bm25.build_postings(fresh, self.store.buckets(name)), *layout)
         self.store.append("lengths", bm25.tokenized(fresh).select("doc_id", "dl"))
         self.store.append("docs", fresh)
 
@@ -282,12 +305,14 @@ class HybridMemory(GraphMemory):
         numbered = running_number(fresh, [], ["name"], name="id").withColumn(
             "id", F.col("id") + F.lit(self._after(known, "id"))
         )
-        self.store.append(
-            "entity_vectors", numbered.select("id", "name", self.models.embed(F.col("name")).alias("vec"))
-        )
+        named = checkpoint(numbered.select("id", "name", self.models.embed(F.col("name")).alias("vec")))
+        self._log_embedding(named, F.col("name"), phase, run_id)
+        self.store.append("entity_vectors", named)
         todo = self.edges().join(self._edge_vectors().select("eid"), "eid", "left_anti")
         text = edge_text(F.col("subject"), F.col("predicate"), F.col("object"))
-        self.store.append("edge_vectors", todo.select("eid", self.models.embed(text).alias("vec")))
+        told = checkpoint(todo.select("eid", text.alias("text"), self.models.embed(text).alias("vec")))
+        self._log_embedding(told, F.col("text"), phase, run_id)
+        self.store.append("edge_vectors", told.select("eid", "vec"))
 
     def _entity_vectors(self) -> DataFrame:
         return self.store.read("entity_vectors", "id long, name string, vec array<float>")
@@ -313,8 +338,11 @@ class VecGraphMemory(Memory):
         "subject_key string, object_key string, source_hash string, embedding array<float>"
     )
 
-    def __init__(self, spark: SparkSession, config: ExperimentConfig, models: Models) -> None:
-        super().__init__(spark, config, models)
+    def __init__(
+        self, spark: SparkSession, config: ExperimentConfig, models: Models,
+        store: TableStore | None = None, calls: list[DataFrame] | None = None,
+    ) -> None:
+        super().__init__(spark, config, models, store, calls)
         if config.vecgraph is None:
             from lodestone.config import VecGraphConfig
 
@@ -324,11 +352,23 @@ class VecGraphMemory(Memory):
         return self.store.read("entities", "entity_id long, entity_key string, name string, embedding array<float>")
 
     def aliases(self) -> DataFrame:
-        return self.store.read("aliases", "alias_key string, alias string, entity_key string")
+        """Other names of entities; ``alias_id`` ascends in the order in which they were found."""
+        return self.store.read("aliases", "alias_key string, alias string, entity_key string, alias_id long")
 
     def sources(self) -> DataFrame:
-        """Chunks an entity was kept from, one row each."""
-        return self.store.read("sources", "entity_key string, source_hash string")
+        """Chunks an entity was found in, one row each; ``first_trip`` ascends in the order in which they were."""
+        return self.store.read("sources", "entity_key string, source_hash string, first_trip long")
+
+    def entity_names(self) -> DataFrame:
+        """``(entity_key, alias_no, alias)``: the names of every entity in order, its own as number 0."""
+        others = running_number(self.aliases(), ["entity_key"], ["alias_id", "alias"], name="alias_no")
+        own = self.entities().select("entity_key", F.lit(0).cast("long").alias("alias_no"), F.col("name").alias("alias"))
+        return own.unionByName(others.select("entity_key", "alias_no", "alias"))
+
+    def entity_sources(self) -> DataFrame:
+        """``(entity_key, source_no, source_hash)``: the chunks of every entity in order, from 1."""
+        numbered = running_number(self.sources(), ["entity_key"], ["first_trip", "source_hash"], name="source_no")
+        return numbered.select("entity_key", "source_no", "source_hash")
 
     def triplets(self) -> DataFrame:
         return self.store.read("triplets", self._triplet_schema)
@@ -367,21 +407,22 @@ class VecGraphMemory(Memory):
         everyone = known.withColumn("settled", F.lit(True)).unionByName(fresh.withColumn("settled", F.lit(False)))
 
         def select(name: Column, candidates: Column) -> Column:
-            return self.models.choose(choice_prompt(name, numbered_block(candidates)))["reply"]
+            return self.models.choose(choice_prompt(name, numbered_block(candidates)))
 
         cfg = self.config.vecgraph
         owners = checkpoint(
             entities.resolve_entities(
                 everyone.select(F.col("entity_id").alias("id"), "name", "embedding", "settled"),
                 select, cfg.entity_lm_top_k, cfg.entity_lm_lower,
+                on_replies=lambda replies: self._log(replies, "reply", phase, "graph_extract", F.lit(run_id)),
             )
         )
         decided = fresh.join(owners, F.col("entity_id") == F.col("id"))
         merged = decided.where(F.col("owner") != F.col("id")).select(
-            F.col("entity_key").alias("alias_key"), F.col("name").alias("alias"), "owner"
+            F.col("entity_key").alias("alias_key"), F.col("name").alias("alias"), "owner", F.col("entity_id").alias("alias_id")
         )
         keys = everyone.select(F.col("entity_id").alias("owner"), "entity_key")
-        self.store.append("aliases", checkpoint(merged.join(keys, "owner").select("alias_key", "alias", "entity_key")))
+        self.store.append("aliases", checkpoint(merged.join(keys, "owner").select("alias_key", "alias", "entity_key", "alias_id")))
         self.store.append(
             "entities",
             decided.where(F.col("owner") == F.col("id")).select("entity_id", "entity_key", "name", "embedding"),
@@ -423,8 +464,8 @@ class VecGraphMemory(Memory):
         )
         self._log_embedding(fresh, text, phase, run_id)
         ends = fresh.select(
-            F.explode(F.array("subject_key", "object_key")).alias("entity_key"), "source_hash"
-        ).distinct()
+            F.explode(F.array("subject_key", "object_key")).alias("entity_key"), "source_hash", "trip_id"
+        ).groupBy("entity_key", "source_hash").agg(F.min("trip_id").alias("first_trip"))
         self.store.append("sources", ends.join(self.sources(), ["entity_key", "source_hash"], "left_anti"))
         # Rows kept earlier can never fall later, so only the new ones are judged:
         # first against the stored ledger, which is read once and not shuffled for
@@ -459,5 +500,7 @@ class VecGraphMemory(Memory):
 MEMORIES = {m.name: m for m in (OverlapMemory, Bm25Memory, VectorMemory, GraphMemory, HybridMemory, VecGraphMemory)}
 
 
-def build_memory(spark: SparkSession, config: ExperimentConfig, models: Models) -> Memory:
-    return MEMORIES[config.agent_type](spark, config, models)
+def build_memory(
+    spark: SparkSession, config: ExperimentConfig, models: Models, store: TableStore | None = None, calls: list[DataFrame] | None = None
+) -> Memory:
+    return MEMORIES[config.agent_type](spark, config, models, store, calls)

@@ -26,7 +26,7 @@ def flush_calls(memory: Memory, path: str) -> None:
     if not memory.calls:
         return
     noted = checkpoint(reduce(lambda a, b: a.unionByName(b), memory.calls))
-    memory.calls = []
+    memory.calls.clear()
     good = running_number(noted.where(noted.event == CALL), [], ["timestamp", "run_id"], name="call_index")
     good = good.withColumn("call_index", F.col("call_index") + F.lit(last_call(noted.sparkSession, path)))
     failed = noted.where(noted.event != CALL)

@@ -63,15 +63,19 @@ class TableStore:
 
     # ---- bucketed tables ----
 
+    def buckets(self, name: str) -> int:
+        """Number of buckets of a table: that of its folder, or what a new one would get."""
+        fs, path = self._fs(f"{self.root}/{name}")
+        held = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return int(held[0][1:] if held else self._spark.conf.get("spark.sql.shuffle.partitions"))
+
     def _bucketed(self, name: str, schema: str, key: str, sort: str) -> str:
         """Name of an external table over the folder, declared in this session if need be.
 
         The number of buckets is part of the folder's name, so every application
         declares the table alike.
         """
-        fs, path = self._fs(f"{self.root}/{name}")
-        held = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        buckets = held[0][1:] if held else self._spark.conf.get("spark.sql.shuffle.partitions")
+        buckets = self.buckets(name)
         folder = f"{self.root}/{name}/b{buckets}"
         table = f"lodestone_{name}_{hashlib.md5(folder.encode()).hexdigest()}"
         if not self._spark.catalog.tableExists(table):

@@ -12,12 +12,12 @@ from lodestone.sources.logs import CALL_LOG
 def follow_facts(facts: DataFrame, memory: Memory, checkpoint_location: str) -> StreamingQuery:
     """Feed a stream of ``(doc_id, text)`` into a memory, one ingestion per micro-batch.
 
-    A batch that is replayed after a failure is ingested again, as with any
-    non-transactional sink; the graph backends drop such copies themselves.
+    The memory notes the batches it took, by the stream's checkpoint and their number: a batch that
+    is replayed after a failure adds nothing.
     """
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        memory.ingest_documents(batch)
+        memory.ingest_batch(batch, checkpoint_location, batch_id)
 
     return (
         facts.writeStream.foreachBatch(take)

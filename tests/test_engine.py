@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import main as cli
 from lodestone import plugins
-from lodestone.config import ExperimentConfig, layered, list_variants, load_config
+from lodestone.config import ExperimentConfig, LLMConfig, RetrievalConfig, _typed, layered, list_variants, load_config
 from lodestone.plans.agent import Agent
 from lodestone.plans.memories import MEMORIES, build_memory
 from lodestone.plans.pipelines import flush_calls, run_ingest, run_qa
@@ -229,3 +229,72 @@ def test_stream_of_facts(spark, tmp_path):
     follow_facts(stream, memory, str(tmp_path / "cp")).awaitTermination(60)
     assert memory.search("mars") == ["Mars is red."]
     assert read_call_stream(spark, str(tmp_path)).isStreaming
+
+
+def test_calls_of_selection_and_hybrid_ingest_are_noted(spark, tmp_path):
+    texts = ["Alpha One was born in Paris.", "Alpha Two was born in Paris.", "Alpha Three was born in Rome."]
+    shared = []
+    memory = build_memory(spark, variant("vecgraph", tmp_path / "v"), plugins.offline_models(), calls=shared)
+    memory.config.vecgraph.entity_lm_lower = 0.3
+    memory.ingest_documents(texts)
+    noted = [c for df in memory.calls for c in df.collect()]
+    # Three extractions; the second and third Alpha are each put before the model once.
+    extracted = [c for c in noted if c.actor == "graph_extract"]
+    assert len(extracted) == 5 and {c.phase for c in extracted} == {"ingest"} and {c.run_id for c in extracted} == {"ingest"}
+    assert sorted(c.completion_tokens for c in extracted)[:2] == [1, 1]
+    hybrid = build_memory(spark, variant("lightrag", tmp_path / "h"), plugins.offline_models(), calls=shared)
+    before = len(shared)
+    hybrid.ingest_documents(texts)
+    embedded = [c for df in shared[before:] for c in df.collect() if c.actor == "vector_embed"]
+    assert hybrid.calls is memory.calls and len(embedded) == 5 + 3
+    hybrid.update_fact("Rome is located in Italy.")
+    late = [c for df in shared for c in df.collect() if c.actor == "vector_embed" and c.phase == "agent_reasoning"]
+    assert len(late) == 2 and {c.run_id for c in late} == {"update_fact"}
+
+
+def test_names_and_sources_of_entities_are_ordered(spark, tmp_path):
+    models = plugins.offline_models()
+    first = lambda p: models.choose(p).withField("reply", F.lit("1"))
+    memory = build_memory(spark, variant("vecgraph", tmp_path), plugins.Models(embed=models.embed, choose=first))
+    memory.config.vecgraph.entity_lm_lower = 0.3
+    memory.config.vecgraph.dedup_threshold = 0.9999
+    memory.ingest_documents([f"Alpha {n} was born in Paris." for n in ("Zero", "Two", "One")])
+    names = sorted((r.entity_key, r.alias_no, r.alias) for r in memory.entity_names().collect())
+    assert names == [("alpha zero", 0, "Alpha Zero"), ("alpha zero", 1, "Alpha Two"), ("alpha zero", 2, "Alpha One"), ("paris", 0, "Paris")]
+    seen = [r.source_no for r in memory.entity_sources().where("entity_key = 'paris'").collect()]
+    assert sorted(seen) == list(range(1, len(seen) + 1)) and seen
+
+
+@pytest.mark.parametrize("kind", ["dummy", "bm25", "vector", "graph", "lightrag", "vecgraph"])
+def test_a_replayed_batch_adds_nothing(spark, tmp_path, kind):
+    from lodestone.sources.store import TableStore
+
+    store = TableStore(spark, str(tmp_path / "given"))
+    memory = build_memory(spark, variant(kind, tmp_path), plugins.offline_models(), store=store)
+    batch = spark.createDataFrame([(0, TEXTS[0]), (1, TEXTS[1])], "doc_id long, text string")
+    assert memory.ingest_batch(batch, "stream", 0)
+    held = memory.store_size
+    assert not memory.ingest_batch(batch, "stream", 0) and memory.store_size == held > 0
+    other = build_memory(spark, variant(kind, tmp_path), plugins.offline_models(), store=store)
+    assert other.store_size == held and not other.ingest_batch(batch, "stream", 0)
+    assert other.ingest_batch(batch.limit(0), "stream", 1) and other.store_size == held
+
+
+def test_postings_have_one_file_a_bucket(spark, tmp_path):
+    memory = build_memory(spark, variant("bm25", tmp_path), plugins.offline_models())
+    memory.ingest_documents(TEXTS * 20)
+    files = [r[0] for r in memory.postings().select(F.input_file_name()).distinct().collect()]
+    assert 0 < len(files) <= memory.store.buckets("postings")
+    assert len({f.rsplit("_", 1)[1] for f in files}) == len(files)
+
+
+def test_settings_are_typed(config_file):
+    text = config_file.read_text()
+    config_file.write_text(text.replace("top_k: 5", "top_k: x") if "top_k: 5" in text else text + "\n")
+    with pytest.raises(ValueError):
+        _typed(RetrievalConfig, "top_k", int, "x")
+    assert _typed(RetrievalConfig, "top_k", int, "7") == 7 and _typed(RetrievalConfig, "similarity_cutoff", float, 1) == 1.0
+    assert _typed(LLMConfig, "api_base", str | None, None) is None
+    for bad in (True, 2.5, [1]):
+        with pytest.raises(ValueError):
+            _typed(RetrievalConfig, "top_k", int, bad)
