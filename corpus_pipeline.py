@@ -32,10 +32,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of every group of near-duplicates."""
-    judged = bottomk.near_duplicates(docs)
-    gone = judged.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One row of every group of near-duplicates, that of the smallest id; a null id comes last.
+
+    Rows are told apart by a number, so rows that share an id, or have none, are judged each for itself.
+    """
+    numbered = checkpoint(docs.withColumn("__row", F.monotonically_increasing_id()))
+    judged = bottomk.near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text"))
+    grouped = judged.select(F.col("doc_id").alias("__member"), F.col("component_id").alias("__group")).join(
+        numbered.select("__row", F.col("doc_id").alias("__id")), F.col("__member") == F.col("__row")
+    )
+    first = F.min(F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__row")))
+    kept = grouped.groupBy("__group").agg(first.alias("f")).select(F.col("f.__row").alias("__kept"))
+    return numbered.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
