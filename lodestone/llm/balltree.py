@@ -73,17 +73,9 @@ def _parts(pairs: DataFrame, limit: int) -> int:
         parts *= 2
 
 
-class Postings(dict):
-    """Numbers of the terms of a part; terms outside it have none."""
-
-    def vector(self, words: list[bytes]) -> tuple[list[int], list[int]]:
-        counts = Counter(words)
-        inside = [(self[t], n) for t, n in counts.items() if t in self]
-        return [t for t, _ in inside], [n for _, n in inside]
-
-
-def _vectors(docs: DataFrame, vocabulary: Postings) -> DataFrame:
+def _vectors(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
     """``(doc_id, n, terms, tf)``: length and counts of the vocabulary's terms, per row with terms at all."""
+    # Plain values: a broadcast is unpickled where this package need not be installed.
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -92,7 +84,8 @@ def _vectors(docs: DataFrame, vocabulary: Postings) -> DataFrame:
         for at, text in enumerate(batch.column(1).to_pylist()):
             words = plain_words(text)
             if words:
-                t, n = known.vector(words)
+                counted = [(known[w], c) for w, c in Counter(words).items() if w in known]
+                t, n = [x[0] for x in counted], [x[1] for x in counted]
                 kept.append(at)
                 lengths.append(len(words))
                 terms.append(t)
@@ -291,10 +284,10 @@ class Search:
 
 def _found(vectors: DataFrame, queries: Queries, rows: int, length: int, k: int, k1: int, base: int, slope: int) -> DataFrame:
     """``(item_id, doc_id, score)``: ``k`` candidates a query and task at most."""
-    held = vectors.sparkSession.sparkContext.broadcast(queries)
+    held = vectors.sparkSession.sparkContext.broadcast((queries.ids, queries.terms, queries.weights, queries.scale))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = Search(held.value, k)
+        search = Search(Queries(*held.value), k)
         for batch in batches:
             ids, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             offsets = batch.column(2).offsets.to_numpy().astype(np.int64)
@@ -332,7 +325,7 @@ def ranked(
     for part in range(parts):
         mine = pairs.where(_part(parts) == part).orderBy("item_id", "term").toArrow()  # bounded by ``part_pairs``
         terms = sorted(set(mine.column("term").to_pylist()))
-        vocabulary = Postings((t, i) for i, t in enumerate(terms))
+        vocabulary = {t: i for i, t in enumerate(terms)}
         vectors = checkpoint(_vectors(docs, vocabulary))
         rows, length = vectors.agg(F.count("*"), F.sum("n")).first()
         if not rows or not terms:
