@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Bounds the memory of a worker's word table; the table starts anew when it is full.
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 100_000
 # Rows of a bitmap built by ``maybe_in``; 64 bits each, 4 MB in all, whatever the input.
 _BITMAP_ROWS = 1 << 18
 

@@ -36,6 +36,8 @@ TRAINING_ROWS = 20_000
 LEXICON_TERMS = 2_000
 _STEM = range(4, 9)
 _FLUSH = 300_000
+# Answers a worker remembers.
+_REMEMBERED = 100_000
 _CONTEXT = 8
 _OPENING, _CLOSING = "\"“„«‹‘", "\"”“»›’"
 
@@ -282,7 +284,7 @@ class _Matches(dict):
         self.lexicon = lexicon
 
     def __missing__(self, word: bytes) -> tuple[float, bool] | None:
-        if len(self) > _FLUSH:
+        if len(self) > _REMEMBERED:
             self.clear()
         value = self[word] = self.lexicon.match(word.decode("utf-8", "replace"))
         return value
