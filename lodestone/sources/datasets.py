@@ -6,17 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.dataset import expected_answer
+from lodestone.sources.jsonarrays import json_array_items
 
 _QUESTION = (
     "question: string, expected: string, answer: string, hops: int, chain: string, type: string, level: string"
 )
-_FILE = f"documents array<string>, questions array<struct<{_QUESTION}>>"
 _SAMPLE = (
     "id string, question string, answer string, type string, level string, "
     "context struct<title: array<string>, sentences: array<array<string>>>"
 )
 
 
+def _elements(spark: SparkSession, path: str, key: str, number: str, kind: str) -> DataFrame:
+    """``(number, value)``: the elements of one array of a JSON file, read as ``kind``."""
+    items = json_array_items(spark, path, [key])
+    wrapped = F.from_json(F.concat(F.lit('{"value": '), F.col("item"), F.lit("}")), f"value {kind}")
+    return items.select(F.col("item_no").alias(number), wrapped["value"].alias("value"))
+
+
 def _is_file(path: str) -> bool:
     return path.endswith(".json")
 
@@ -24,15 +31,14 @@ def _is_file(path: str) -> bool:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, text)`` in file order.
 
-    A ``.json`` file holds one object with a list of texts.  Any other path is a
+    A ``.json`` file holds one object with a list of texts and is split like any text.  Any other path is a
     folder with a ``documents`` table in Parquet, read by as many tasks as it has
     splits; it brings its own ``doc_id``.
     """
     if not _is_file(path):
         return spark.read.schema("doc_id long, text string").parquet(f"{path}/documents")
-    whole = spark.read.schema(_FILE).json(path, multiLine=True)
-    rows = whole.select(F.posexplode("documents").alias("doc_id", "text")).where(F.col("text").isNotNull())
-    return rows.select(F.col("doc_id").cast("long"), "text")
+    rows = _elements(spark, path, "documents", "doc_id", "string").where(F.col("value").isNotNull())
+    return rows.select("doc_id", F.col("value").alias("text"))
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
@@ -41,10 +47,9 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
         table = spark.read.parquet(f"{path}/questions")
         return table.select("qid", F.coalesce("question", F.lit("")).alias("question"),
                             expected_answer(table).alias("expected"))
-    whole = spark.read.schema(_FILE).json(path, multiLine=True)
-    rows = whole.select(F.posexplode("questions").alias("qid", "q")).select("qid", "q.*")
+    rows = _elements(spark, path, "questions", "qid", f"struct<{_QUESTION}>").select("qid", "value.*")
     return rows.select(
-        F.col("qid").cast("long"),
+        "qid",
         F.coalesce("question", F.lit("")).alias("question"),
         expected_answer(rows).alias("expected"),
     )
