@@ -516,7 +516,7 @@ def qa_answers(spark, folder):
         llm=LLMConfig("offline/first-line"), embedding=EmbeddingConfig("offline/hashing"),
         retrieval=RetrievalConfig(top_k=TOP_K), ingestion=IngestionConfig(CHUNK_SIZE, CHUNK_OVERLAP),
     )
-    memory = OverlapMemory(spark, config, offline_models())
+    memory = OverlapMemory(spark, config, offline_models(), _store(spark))
     memory.docs = lambda: _documents(spark, folder)
     asked = _benchmark_queries(spark, folder).select(
         "qid", F.col("query").alias("question"), F.lit("").alias("expected")
@@ -531,15 +531,20 @@ def qa_answers(spark, folder):
 # ---- backends over their stores ---------------------------------------------
 
 
+def _store(spark: SparkSession) -> TableStore:
+    """An empty store in the shared folder."""
+    return TableStore(spark, f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
+
+
 def _memory(spark: SparkSession, agent_type: str, models: Models, cutoff: float = 0.7) -> Memory:
-    """An empty backend with a store of its own in the shared folder."""
+    """An empty backend with a store of its own."""
     config = ExperimentConfig(
         variant_name="registered", agent_type=agent_type, data_file="documents",
         llm=LLMConfig("offline/reader"), embedding=EmbeddingConfig("offline/letters"),
         retrieval=RetrievalConfig(TOP_K, cutoff), ingestion=IngestionConfig(CHUNK_SIZE, CHUNK_OVERLAP),
         vecgraph=VecGraphConfig(dedup_threshold=1.0, entity_lm_lower=0.5, entity_lm_top_k=TOP_K),
     )
-    return build_memory(spark, config, models, TableStore(spark, f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"))
+    return build_memory(spark, config, models, _store(spark))
 
 
 def _letters(text):
