@@ -180,8 +180,9 @@ def bm25_index_topk(spark, folder):
 @_query
 def term_statistics(spark, folder):
     """Document and collection frequency of every term."""
-    exploded = bm25.tokenized(_documents(spark, folder)).select("doc_id", F.explode("tokens").alias("term"))
-    per_doc = exploded.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    # An inner explode would have texts taken apart a second time, to drop empty ones before the shuffle.
+    exploded = bm25.tokenized(_documents(spark, folder)).select("doc_id", F.explode_outer("tokens").alias("term"))
+    per_doc = exploded.where(F.col("term").isNotNull()).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     return per_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import fts_tokens, is_blank, quoted_phrases
 from lodestone.operators.blockmax import Weights, top_sums
 from lodestone.operators.ranking import top_k
-from lodestone.session import BROADCAST_BYTES, checkpoint, spread_small_scan
+from lodestone.session import BROADCAST_BYTES, checkpoint, spread_small_scan, spread_texts
 
 # BM25 constants and the floor of the inverse document frequency.
 K1 = 1.2
@@ -66,10 +66,10 @@ def query_phrases(queries: DataFrame) -> Phrases:
     return Phrases(table, size <= BROADCAST_BYTES, (longest or 1) > 1)
 
 
-def tokenized(docs: DataFrame) -> DataFrame:
-    """``(doc_id, tokens, dl)`` of documents ``(doc_id, text)``."""
-    docs = spread_small_scan(docs.select("doc_id", "text"), "doc_id")
-    tokens = docs.select("doc_id", fts_tokens(F.col("text")).alias("tokens"))
+def tokenized(docs: DataFrame, *keep: str) -> DataFrame:
+    """``(doc_id, tokens, dl)`` of documents ``(doc_id, text)``; ``keep`` names further columns to keep."""
+    docs = spread_texts(docs.select("doc_id", "text"), "doc_id")
+    tokens = docs.select("doc_id", *keep, fts_tokens(F.col("text")).alias("tokens"))
     return tokens.withColumn("dl", F.size("tokens").cast("long"))
 
 
@@ -78,14 +78,15 @@ def build_postings(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
     The list of positions belongs to one document, so it is bounded by its length.  With a number of
     buckets documents are dealt out by id first: grouping then shuffles nothing, and a table of so many
-    buckets by ``doc_id`` gets one file a bucket.
+    buckets by ``doc_id`` gets one file a bucket.  Documents that were tokenised keep their tokens.
     """
-    tokens = tokenized(docs)
+    tokens = docs.select("doc_id", "tokens", "dl") if "tokens" in docs.columns else tokenized(docs)
+    # An inner explode would have texts taken apart a second time, to drop empty ones before the shuffle.
     exploded = (tokens.repartition(buckets, "doc_id") if buckets else tokens).select(
-        "doc_id", "dl", F.posexplode("tokens").alias("pos", "term")
+        "doc_id", "dl", F.posexplode_outer("tokens").alias("pos", "term")
     )
     return (
-        exploded.groupBy("doc_id", "term", "dl")
+        exploded.where(F.col("term").isNotNull()).groupBy("doc_id", "term", "dl")
         .agg(F.array_sort(F.collect_list("pos")).alias("positions"))
         .select("doc_id", "term", F.size("positions").cast("long").alias("tf"), "positions", "dl")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import words
-from lodestone.session import broadcast_if_small, checkpoint, spread_small_scan
+from lodestone.session import broadcast_if_small, checkpoint, spread_texts
 
 # Characters of a gram; shorter tokens are grams of their own length, so
 # most tokens are met exactly, without a search.
@@ -59,7 +59,7 @@ def substring_matches(texts: DataFrame, id_col: str, text_col: str, tokens: Data
     table = checkpoint(gram_table(tokens))
     # At most one row per length of a gram.
     sizes = [row["size"] for row in table.select(F.length("gram").alias("size")).distinct().collect()]
-    texts = spread_small_scan(texts.select(id_col, text_col), id_col)
+    texts = spread_texts(texts.select(id_col, text_col), id_col)
     said = texts.select(id_col, F.explode(F.array_distinct(words(F.lower(F.col(text_col))))).alias("word"))
     # Plain generators instead of nested array functions: the grams and the
     # probe of the table compile into one loop.

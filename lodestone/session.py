@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # A relation is broadcast only if its measured size stays below this.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Bytes of files behind one task that takes texts apart: what it holds is a multiple of them.
+PIECE_BYTES = 8 * 1024 * 1024
 
 
 def build_session(app_name: str = "lodestone", **conf: str) -> SparkSession:
@@ -85,6 +87,26 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def _leaf_bytes(df: DataFrame) -> int:
+    """Size of the files and rows under a plan, whatever its columns and joins are estimated to make of them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
+def spread_texts(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition texts into pieces of a bounded size, at least one per core.
+
+    Taking texts apart makes many rows of one, which a task then groups; with the number of pieces in
+    proportion to the input, no task holds more of them in a large corpus than in a small one.
+    Grouping by ``key`` needs no further shuffle.  Rows of unknown size keep their partitions.
+    """
+    size = _leaf_bytes(df)
+    # The estimate of rows that come from outside is the largest number there is.
+    if size >= 1 << 50:
+        return df
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PIECE_BYTES)), key)
+
+
 def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
     """Hash-partition a scan that is too small to be split over all cores.
 
