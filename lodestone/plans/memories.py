@@ -207,11 +207,11 @@ class Bm25Memory(_PassageMemory):
 
     def _ingest(self, docs: DataFrame, phase: str, run_id: str, chunked: bool) -> None:
         # Pinned first, as the numbers depend on what is stored already.
-        fresh = checkpoint(self._numbered(docs))
+        fresh = checkpoint(bm25.tokenized(self._numbered(docs), "text"))
         name, *layout = self._postings
         self.store.append_bucketed(name, bm25.build_postings(fresh, self.store.buckets(name)), *layout)
-        self.store.append("lengths", bm25.tokenized(fresh).select("doc_id", "dl"))
-        self.store.append("docs", fresh)
+        self.store.append("lengths", fresh.select("doc_id", "dl"))
+        self.store.append("docs", fresh.select("doc_id", "text"))
 
     def _search(self, queries: DataFrame) -> DataFrame:
         hits = bm25.bm25_search_index(self.postings(), self.lengths(), queries, self.k)
