@@ -10,8 +10,10 @@ import pyarrow as pa
 SIM_DIGITS = 12
 # Wider than what rounding can move a similarity.
 _REACH = 1e-11
-# Rows of the left block multiplied at a time; bounds the dense intermediate.
+# Rows of the left block multiplied at a time, and products of one slice; they bound the dense
+# intermediate, also where every product is near enough to be looked at.
 _SLICE = 512
+_CELLS = 1 << 20
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -36,8 +38,9 @@ def int64(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def similarity_slices(left: np.ndarray, right: np.ndarray):
     """``(start, sims)`` for slices of the left rows against all right rows, not yet rounded."""
-    for start in range(0, len(left), _SLICE):
-        yield start, left[start : start + _SLICE] @ right.T
+    step = max(1, min(_SLICE, _CELLS // max(1, len(right))))
+    for start in range(0, len(left), step):
+        yield start, left[start : start + step] @ right.T
 
 
 def rounded(sims: np.ndarray) -> np.ndarray:

@@ -51,7 +51,11 @@ def partner_lists(
     ``cands`` are the first ``width`` of them as ``(rank, cand, sim)``, oldest or nearest first; ``more``
     tells that there are others.  Both sides are rows of ``placed``.  ``strict`` leaves out partners at
     the gate itself.
+
+    Of visitors with one and the same vector, only the first can be listed: all are as near to a target,
+    and the younger come later in either order.
     """
+    visitors = top_k(visitors, ["vec"], [F.asc("id")], width + 1, rank="copy").drop("copy")
     pairs = block_join(targets, visitors, placed.cells, _first(width + 1, gate, strict, nearest), _PAIRS)
     order = [F.desc("sim"), F.asc("cand")] if nearest else [F.asc("cand")]
     # A target meets several blocks of visitors, each of which offers its first.
