@@ -9,6 +9,7 @@ becomes an entity itself.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -20,6 +21,7 @@ from lodestone.functions.text import choice_index, norm_name
 from lodestone.operators.blocks import best_of, near_pairs
 from lodestone.operators.partners import USED_UP, WIDTH, partner_lists
 from lodestone.operators.ranking import top_k
+from lodestone.operators.semantic_dedup import semantic_dedup
 from lodestone.operators.simjoin import block_join, place
 from lodestone.session import checkpoint, checkpoint_counting
 
@@ -92,14 +94,19 @@ def entity_candidates(names: DataFrame, k: int, gate: float) -> DataFrame:
     return best.select("id", "rank", "cand", "sim")
 
 
-def always_nearest(name: Column, candidates: Column) -> Column:
-    """Selector that takes the first candidate."""
-    return F.lit("1")
+@dataclass(frozen=True)
+class FixedReply:
+    """Selector that gives the same number for every name, whatever its candidates."""
 
+    choice: int
 
-def never_merge(name: Column, candidates: Column) -> Column:
-    """Selector that finds no match."""
-    return F.lit("0")
+    def __call__(self, name: Column, candidates: Column) -> Column:
+        return F.lit(str(self.choice))
+
+
+# Take the first candidate; find no match.
+always_nearest = FixedReply(1)
+never_merge = FixedReply(0)
 
 
 def _shown(waiting: DataFrame, news: DataFrame, k: int) -> DataFrame:
@@ -123,6 +130,34 @@ def _shown(waiting: DataFrame, news: DataFrame, k: int) -> DataFrame:
     return left.select("id", "name", "cands", "more", state.alias("state"))
 
 
+def _resolve_alike(
+    rows: DataFrame, selector: FixedReply, gate: float, width: int, on_replies: Callable[[DataFrame], None] | None
+) -> DataFrame:
+    """``resolve_entities`` for a reply known beforehand: the first candidate of every name, or none.
+
+    Names then stand or fall by whether any earlier entity is near, which is the rule of ``semantic_dedup``:
+    a name falls with the first entity known among its partners and need not wait for the others.  Once it
+    is known which names stand, one join finds the nearest of every other name.
+    """
+    nearest = selector.choice == 1
+    standing = rows.select("id")
+    if nearest:
+        kept = semantic_dedup(rows.withColumnRenamed("vec", "embedding"), gate, width, strict=False).where("kept")
+        standing = checkpoint(kept.select("id").unionByName(rows.where("settled").select("id")).distinct())
+    elif not on_replies:
+        return rows.select("id", F.col("id").alias("owner"))
+    placed = place(rows.join(standing.distinct().withColumn("stands", F.lit(True)), "id", "left"), gate)
+    stands = F.col("stands").isNotNull()
+    asked = placed.rows.where(~stands if nearest else ~F.col("settled"))
+    found = checkpoint(partner_lists(placed, asked, placed.rows.where(stands), gate, 1, nearest=True))
+    if on_replies:
+        on_replies(found.select(F.lit(str(selector.choice)).alias("reply")))
+    if not nearest:
+        return rows.select("id", F.col("id").alias("owner"))
+    merged = found.select("id", F.col("cands")[0]["cand"].alias("owner"))
+    return rows.join(merged, "id", "left_anti").select("id", F.col("id").alias("owner")).unionByName(merged)
+
+
 def resolve_entities(
     names: DataFrame, selector: Selector, k: int, gate: float, width: int = WIDTH, on_replies: Callable[[DataFrame], None] | None = None
 ) -> DataFrame:
@@ -137,7 +172,9 @@ def resolve_entities(
     of the ``k`` nearest candidates is still open.  The earliest open name always is
     one, so every round makes progress, and independent names are decided together.
     Only a name whose listed candidates were nearly all merged into others is joined
-    once more, against names that were not.
+    once more, against names that were not.  The number of rounds is the longest chain
+    of dependent names; a ``FixedReply`` that takes the first candidate or none needs
+    no such rounds.
 
     ``on_replies`` is told of the replies of every round, as written rows with a column ``reply``.
     """
@@ -146,6 +183,8 @@ def resolve_entities(
     rows = names.select("id", "name", F.col("embedding").alias("vec"), "settled")
     if gate <= 0:
         return rows.select("id", F.col("id").alias("owner"))
+    if isinstance(selector, FixedReply) and not 2 <= selector.choice <= k and k > 0:
+        return _resolve_alike(rows, selector, gate, width, on_replies)
     placed = place(rows, gate)
     called = placed.rows.select(F.col("id").alias("cand"), F.col("name").alias("cand_name"))
 

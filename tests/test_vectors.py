@@ -143,6 +143,29 @@ def test_entities_equal_the_sequential_rule(spark, monkeypatch, gate, width):
     assert got == sequential(range(len(v)), sims(v), pick, 3, gate)
 
 
+@pytest.mark.parametrize("choice", [0, 1])
+def test_fixed_replies_take_no_round_per_member_of_a_group(spark, monkeypatch, choice):
+    small_cells(monkeypatch)
+    # A group of near copies: the nearest earlier names of each are other members, all merged into the first.
+    v = np.concatenate([cloud(n=40), (np.ones(8) + 0.05 * RNG.normal(size=(30, 8))).astype(np.float32)])
+    rounds, replies = [], []
+    for module in (entities, semantic_dedup):
+        counting = module.checkpoint_counting
+        monkeypatch.setattr(module, "checkpoint_counting", lambda *a, c=counting: rounds.append(1) or c(*a))
+    names = frame(spark, v).withColumn("name", F.col("id").cast("string")).withColumn("settled", F.col("id") < 2)
+    got = entities.resolve_entities(names, entities.FixedReply(choice), 3, 0.8, 4, replies.append).collect()
+    asked = []
+
+    def pick(j, near):
+        if near and j >= 2:
+            asked.append(j)
+        return choice if j >= 2 and choice <= len(near) else 0
+
+    assert {r.id: r.owner for r in got} == sequential(range(len(v)), sims(v), pick, 3, 0.8) and len(got) == len(v)
+    assert sum(r.count() for r in replies) == len(asked)
+    assert len(rounds) < 15
+
+
 def test_no_merge_without_a_gate_or_a_choice(spark):
     names = frame(spark, cloud(n=30)).withColumn("name", F.col("id").cast("string"))
     for selector, gate in ((entities.always_nearest, 0.0), (entities.never_merge, 0.5)):
