@@ -22,6 +22,7 @@ Documents of equal shingle sets collapse into one class first, so only classes a
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,15 @@ from lodestone.session import checkpoint
 
 # Standard deviations an estimate may lie below the threshold before a pair is given up.
 _Z = 5.0
-# Classes of a list that meet in one task at most, on either side; and columns of the overlap matrix.
-_BLOCK = 512
-_COLUMNS = 4096
+# Classes of a list that meet in one task at most, on either side.  A list of more is copied to a grid
+# of blocks, each class once per block of the other side, which for all pairs in bounded memory is the least.
+_BLOCK = 4096
+# Rows and columns of the overlap matrix at hand.
+_ROWS = 256
+_COLUMNS = 1024
 # Partners a class offers per list and block in successive rounds; the last leaves none out.
-_OFFERS = (1, 8, _BLOCK)
+_ALL = 1 << 62
+_OFFERS = (1, 8, _ALL)
 
 
 def _sets(words: list[bytes], k: int, hashes: WordHashes) -> np.ndarray:
@@ -211,7 +216,7 @@ def _links(known: DataFrame, sets: DataFrame, sketch: int, num: int, den: int) -
             _rest(placed.join(open_lists, "value"), known, sketch, num, den, width, inside=turn == 0)
         )
         fresh = offers if tried is None else offers.join(tried, ["a", "b"], "left_anti")
-        if width < _BLOCK:
+        if turn + 1 < len(_OFFERS):
             fresh = fresh.groupBy("a").agg(F.max(F.struct("estimate", "b")).getField("b").alias("b"))
         fresh = checkpoint(fresh.select("a", "b"))
         links = checkpoint(links.unionByName(_confirmed(fresh, sets, num, den)))
@@ -239,12 +244,15 @@ def _meetings(rows: DataFrame, inside: bool) -> DataFrame:
 
     if inside:
         return rows.withColumn("own", block(F.col("size"))).withColumn("other", F.col("own"))
+    # A list of one block meets itself and needs no copies.
+    one = rows.where(F.col("size") <= _BLOCK).withColumn("own", F.lit(0)).withColumn("other", F.lit(0))
+    rows = rows.where(F.col("size") > _BLOCK)
     settled = F.col("settled_size")
     apart = F.col("size") - settled
     ours = F.ceil(apart / _BLOCK).cast("int")
     last = ours + F.when(F.col("settled"), F.lit(0)).otherwise(F.ceil(settled / _BLOCK).cast("int")) - 1
     own = F.when(F.col("settled"), ours + block(settled)).otherwise(block(apart))
-    return rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last))).unionByName(one)
 
 
 def _rest(
@@ -261,64 +269,66 @@ def _rest(
 
     def work(batches):
         for group in groups(batches, 3):
-            found = _compare(group, sketch, num / den, width)
-            if found is not None:
-                yield found
+            yield from _compare(group, sketch, num / den, width)
 
     spread = rows.repartition("value", "x", "y").sortWithinPartitions("value", "x", "y")
     return spread.mapInArrow(work, "value long, a long, b long, estimate double")
 
 
-def _overlaps(sketches: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-    """Common values of the sketches in ``rows`` with all sketches."""
+def _overlaps(sketches: list[np.ndarray], rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``_ROWS`` of the ``rows`` at a time: common values of their sketches with all sketches."""
     values, codes, counts = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
     shared = np.cumsum(counts > 1) - 1
     keep = counts[codes] > 1
     owner, codes = owner[keep], shared[codes[keep]]
-    total = np.zeros((len(rows), len(sketches)), dtype=np.float32)
-    for begin in range(0, int(shared[-1]) + 1 if len(shared) else 0, _COLUMNS):
-        some = (codes >= begin) & (codes < begin + _COLUMNS)
-        width = min(_COLUMNS, int(shared[-1]) + 1 - begin)
-        held = np.zeros((len(sketches), width), dtype=np.float32)
-        held[owner[some], codes[some] - begin] = 1.0
-        total += held[rows] @ held.T
-    return total
-
-
-def _compare(group: pa.Table, sketch: int, j: float, width: int) -> pa.RecordBatch | None:
+    order = np.argsort(codes, kind="stable")
+    owner, codes = owner[order], codes[order]
+    last = int(shared[-1]) + 1 if len(shared) else 0
+    for first in range(0, len(rows), _ROWS):
+        some = rows[first : first + _ROWS]
+        total = np.zeros((len(some), len(sketches)), dtype=np.float32)
+        for begin in range(0, last, _COLUMNS):
+            lo, hi = np.searchsorted(codes, (begin, begin + _COLUMNS))
+            held = np.zeros((len(sketches), min(_COLUMNS, last - begin)), dtype=np.float32)
+            held[owner[lo:hi], codes[lo:hi] - begin] = 1.0
+            total += held[some] @ held.T
+        yield some, total
+
+
+def _compare(group: pa.Table, sketch: int, j: float, width: int) -> Iterator[pa.RecordBatch]:
     value, x, y = (group.column(i)[0].as_py() for i in range(3))
     own, node, root, n = (group.column(i).to_numpy() for i in range(3, 7))
     settled, leads = (group.column(i).to_numpy() for i in (7, 8))
     rows = np.flatnonzero(~settled & ~leads)
     if not len(rows):
-        return None
+        return
     sketches = arrays(group.column("sketch"))
-    common = _overlaps(sketches, rows)
+    prefixes = [set(p.tolist()) for p in arrays(group.column("prefix"))]
     # Both sketches are complete up to the smaller of their last values.
     last = np.array([s[-1] if len(s) == sketch else np.iinfo(np.int64).max for s in sketches])
-    reach = np.array([np.searchsorted(sketches[i], last, side="right") for i in rows])
-    back = np.array([np.searchsorted(s, last[rows], side="right") for s in sketches]).T
-    union = reach + back - common
-    whole = (n[rows][:, None] + n[None, :]) / (1 + j)
-    spread = np.sqrt(j * (1 - j) / union * np.maximum(0.0, 1 - union / whole))
-    sizes = np.minimum(n[rows][:, None], n[None, :]) >= (j - 1e-9) * np.maximum(n[rows][:, None], n[None, :])
-    good = sizes & (common >= (j - 1e-9 - _Z * spread) * union) & (root[rows][:, None] != root[None, :])
-    good &= ~leads[None, :] & (settled[None, :] | (node[rows][:, None] < node[None, :]))
-    if x != y:
-        good &= own[rows][:, None] != own[None, :]
-    left, right = np.nonzero(good)
-    if not len(left):
-        return None
-    prefixes = [set(p.tolist()) for p in arrays(group.column("prefix"))]
-    first = [min(prefixes[rows[a]] & prefixes[b]) == value for a, b in zip(left, right, strict=True)]
-    left, right = left[first], right[first]
-    estimate = (common[left, right] / union[left, right]).astype(np.float64)
-    order = np.lexsort((node[right], -estimate, left))
-    left, right, estimate = left[order], right[order], estimate[order]
-    best = np.arange(len(left)) - np.searchsorted(left, left) < width
-    left, right, estimate = left[best], right[best], estimate[best]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([value] * len(left), pa.int64()), pa.array(node[rows[left]]), pa.array(node[right]), pa.array(estimate)],
-        ["value", "a", "b", "estimate"],
-    )
+    for some, common in _overlaps(sketches, rows):
+        reach = np.array([np.searchsorted(sketches[i], last, side="right") for i in some])
+        back = np.array([np.searchsorted(s, last[some], side="right") for s in sketches]).T
+        union = reach + back - common
+        whole = (n[some][:, None] + n[None, :]) / (1 + j)
+        spread = np.sqrt(j * (1 - j) / union * np.maximum(0.0, 1 - union / whole))
+        sizes = np.minimum(n[some][:, None], n[None, :]) >= (j - 1e-9) * np.maximum(n[some][:, None], n[None, :])
+        good = sizes & (common >= (j - 1e-9 - _Z * spread) * union) & (root[some][:, None] != root[None, :])
+        good &= ~leads[None, :] & (settled[None, :] | (node[some][:, None] < node[None, :]))
+        if x != y:
+            good &= own[some][:, None] != own[None, :]
+        left, right = np.nonzero(good)
+        first = [min(prefixes[some[a]] & prefixes[b]) == value for a, b in zip(left, right, strict=True)]
+        left, right = left[first], right[first]
+        if not len(left):
+            continue
+        estimate = (common[left, right] / union[left, right]).astype(np.float64)
+        order = np.lexsort((node[right], -estimate, left))
+        left, right, estimate = left[order], right[order], estimate[order]
+        best = np.arange(len(left)) - np.searchsorted(left, left) < width
+        left, right, estimate = left[best], right[best], estimate[best]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([value] * len(left), pa.int64()), pa.array(node[some[left]]), pa.array(node[right]), pa.array(estimate)],
+            ["value", "a", "b", "estimate"],
+        )

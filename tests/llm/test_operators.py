@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,27 @@ def test_crowds_of_near_copies_equal_brute_force(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
 
 
+def test_lists_of_one_block_are_not_copied(spark):
+    """Members of two lists, half of each settled: copies for the blocks of the other side only beyond one block."""
+    for size in (700, 2800):
+        rows = spark.range(size).selectExpr(
+            "id AS node", "1L AS value", f"{size} AS size", f"{size // 2} AS settled_size", "id % 2 = 0 AS settled"
+        )
+        assert bottomk._meetings(rows, inside=False).count() == size
+
+
+def test_overlaps_by_slices_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(bottomk, "_ROWS", 4)
+    monkeypatch.setattr(bottomk, "_COLUMNS", 8)
+    r = np.random.default_rng(2)
+    sketches = [np.unique(r.integers(0, 90, 20)) for _ in range(30)]
+    rows = np.arange(1, 30, 2)
+    some, common = zip(*bottomk._overlaps(sketches, rows), strict=True)
+    assert np.concatenate(some).tolist() == rows.tolist() and max(len(x) for x in some) == 4
+    want = [[len(np.intersect1d(sketches[a], b)) for b in sketches] for a in rows]
+    assert np.array_equal(np.concatenate(common), want)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)]
     roots = dict(connected(spark.createDataFrame(edges, "a long, b long")).collect())
