@@ -144,18 +144,25 @@ def _resolve_alike(
     if nearest:
         kept = semantic_dedup(rows.withColumnRenamed("vec", "embedding"), gate, width, strict=False).where("kept")
         standing = checkpoint(kept.select("id").unionByName(rows.where("settled").select("id")).distinct())
-    elif not on_replies:
-        return rows.select("id", F.col("id").alias("owner"))
     placed = place(rows.join(standing.distinct().withColumn("stands", F.lit(True)), "id", "left"), gate)
     stands = F.col("stands").isNotNull()
     asked = placed.rows.where(~stands if nearest else ~F.col("settled"))
-    found = checkpoint(partner_lists(placed, asked, placed.rows.where(stands), gate, 1, nearest=True))
-    if on_replies:
-        on_replies(found.select(F.lit(str(selector.choice)).alias("reply")))
-    if not nearest:
-        return rows.select("id", F.col("id").alias("owner"))
-    merged = found.select("id", F.col("cands")[0]["cand"].alias("owner"))
-    return rows.join(merged, "id", "left_anti").select("id", F.col("id").alias("owner")).unionByName(merged)
+    own, merged = rows.select("id"), None
+    if nearest or on_replies:
+        found = checkpoint(partner_lists(placed, asked, placed.rows.where(stands), gate, 1, nearest=True))
+        if on_replies:
+            on_replies(found.select(F.lit(str(selector.choice)).alias("reply")))
+    if nearest:
+        merged = found.select("id", F.col("cands")[0]["cand"].alias("owner"))
+        own = own.join(merged, "id", "left_anti")
+    # Rows that repeat an id are one if they have earlier names near, as in the rounds.
+    repeated = checkpoint(own.groupBy("id").count().where("count > 1").select("id"))
+    if not repeated.isEmpty():
+        again = placed.rows.where(~F.col("settled")).join(repeated, "id", "left_semi")
+        met = checkpoint(partner_lists(placed, again, placed.rows, gate, 1).select("id"))
+        own = own.join(met, "id", "left_anti").unionByName(met)
+    owners = own.select("id", F.col("id").alias("owner"))
+    return owners if merged is None else owners.unionByName(merged)
 
 
 def resolve_entities(

@@ -166,6 +166,15 @@ def test_fixed_replies_take_no_round_per_member_of_a_group(spark, monkeypatch, c
     assert len(rounds) < 15
 
 
+def test_rows_that_repeat_an_id_with_a_fixed_reply(spark):
+    """As by asking: a repeated name without earlier ones near stays twice, others are one."""
+    vectors = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.8, 0.6]), (1, [0.8, 0.6]), (2, [0.28, 0.96]), (2, [0.28, 0.96])]
+    names = spark.createDataFrame(vectors, "id long, embedding array<float>").withColumn("name", F.lit("n"))
+    asked = entities.resolve_entities(names, lambda name, cands: F.lit("1"), 3, 0.75).collect()
+    got = entities.resolve_entities(names, entities.always_nearest, 3, 0.75).collect()
+    assert sorted(got) == sorted(asked) == [(0, 0), (0, 0), (1, 0), (2, 2)]
+
+
 def test_no_merge_without_a_gate_or_a_choice(spark):
     names = frame(spark, cloud(n=30)).withColumn("name", F.col("id").cast("string"))
     for selector, gate in ((entities.always_nearest, 0.0), (entities.never_merge, 0.5)):
