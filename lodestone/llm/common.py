@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 _CACHED_WORDS = 100_000
 # Rows of a bitmap built by ``maybe_in``; 64 bits each, 4 MB in all, whatever the input.
 _BITMAP_ROWS = 1 << 18
+# Grams hashed at once, few enough to stay in a processor's cache.
+_GRAMS = 1 << 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,11 +77,31 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
     out = np.full(n, k, dtype=np.uint64)
-    for i in range(k):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n])
+    spare = np.empty(min(n, _GRAMS), dtype=np.uint64)
+    for lo in range(0, n, _GRAMS):
+        part = out[lo : lo + _GRAMS]
+        half = spare[: len(part)]
+        for i in range(lo, lo + k):
+            part *= np.uint64(0x9E3779B97F4A7C15)
+            part += words[i : i + len(part)]
+            # ``mixed``, in place.
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+                np.right_shift(part, np.uint64(shift), out=half)
+                part ^= half
+                if factor > 1:
+                    part *= np.uint64(factor)
     return out.view(np.int64)
 
 
+def grams_of_all(texts: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """``gram_hashes`` of every text, of all at once."""
+    if not texts:
+        return []
+    grams = gram_hashes(np.concatenate(texts), k)
+    ends = np.cumsum([len(t) for t in texts]).tolist()
+    return [grams[end - len(t) : max(end - len(t), end - k + 1)] for t, end in zip(texts, ends, strict=True)]
+
+
 def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     """Arrays of one batch as a list column."""
     offsets = np.zeros(len(parts) + 1, dtype=np.int32)
@@ -129,6 +151,17 @@ def maybe_in(df: DataFrame, column: Column, wanted: DataFrame, wanted_column: Co
     )
 
 
+def not_in(df: DataFrame, column: Column, wanted: DataFrame, wanted_column: Column) -> DataFrame:
+    """The other rows of ``df``: those that ``maybe_in`` leaves out."""
+    tested = df.withColumn("__at", _place(column)).withColumn("__own", _bit(column))
+    bits = F.coalesce(F.col("__bits"), F.lit(0).cast("long"))
+    return (
+        tested.join(F.broadcast(bitmap(wanted, wanted_column)), F.col("__at") == F.col("__place"), "left")
+        .where(F.call_function("shiftrightunsigned", bits, F.col("__own")).bitwiseAND(F.lit(1)) == 0)
+        .select(*[F.col(f"`{c}`") for c in df.columns])
+    )
+
+
 class MaybeWords(dict):
     """The same test for words in Python workers: whether a word may be among the wanted ones."""
 

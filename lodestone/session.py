@@ -93,6 +93,14 @@ def _leaf_bytes(df: DataFrame) -> int:
     return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
+def input_pieces(df: DataFrame) -> int:
+    """Tasks for what is made of ``df``: at least one per core, and one per ``PIECE_BYTES`` of its files."""
+    size = _leaf_bytes(df)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    # The estimate of rows that come from outside is the largest number there is.
+    return cores if size >= 1 << 50 else max(cores, -(-size // PIECE_BYTES))
+
+
 def spread_texts(df: DataFrame, key: str) -> DataFrame:
     """Hash-partition texts into pieces of a bounded size, at least one per core.
 
